@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talkspark.llm import decontaminate, langid, mixing, pii, secrets, topk, toxicity, warc
+from talkspark.llm import decontaminate, jaccard, langid, mixing, pii, secrets, topk, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": secrets.op1_secrets,
+        "op2_jaccard": jaccard.op2_jaccard,
         "op3_toxicity": toxicity.op3_toxicity,
         "op5_pii": pii.op5_pii,
         "op6_mixing": mixing.op6_mixing,
