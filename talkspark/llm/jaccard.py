@@ -305,18 +305,21 @@ def link_components(docs: DataFrame, *, k: int = 4, percent: int = 85) -> DataFr
     links = st.put(join_blocks(members, sets, percent), "links-1")
     comps = components(links, st, "star")
 
-    # lists that still span components: all of the list, in pairs of chunks
-    known = posts.join(lists.select("token", "m"), "token").join(comps.withColumnRenamed("node", "did"), "did", "left").withColumn("comp", F.coalesce("comp", "did"))
-    open_lists = known.groupBy("token").agg(F.max("m").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bit_xor(F.xxhash64("did")).alias("sig")).where("lo <> hi")
-    open_lists = open_lists.groupBy("m", "sig").agg(F.min("token").alias("token"))  # equal lists once
-    rest = st.put(known.drop("m").join(open_lists, "token").select("token", "did", "comp", F.ceil(F.col("m") / (BLOCK // 2)).alias("parts")), "rest")
+    # a star of one block had all its pairs tested; a larger one that still spans components meets again:
+    # the members outside its main component with all of it and with one another, in chunks
+    spread = stars.unionByName(stars.select("center", F.col("center").alias("did")).dropDuplicates()).join(width.where("parts > 1"), "center")
+    spread = spread.join(comps.withColumnRenamed("node", "did"), "did", "left").select("center", "did", F.coalesce("comp", "did").alias("comp"))
+    sums = spread.groupBy("center", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("center").agg(F.sum("m").alias("m"), F.max(F.struct("m", "comp")).alias("main"))
+    sums = sums.where("m > main.m").select("center", F.col("main.comp").alias("main"), F.ceil(F.col("main.m") / BLOCK).alias("mains"), F.ceil((F.col("m") - F.col("main.m")) / BLOCK).alias("others"))
+    rest = st.put(spread.join(sums, "center"), "rest")
     if not rest.isEmpty():
-        own = F.pmod(F.xxhash64("did"), F.col("parts"))
-        paired = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        paired = paired.where((F.col("parts") <= 2) & (F.col("other") == 0) | (F.col("parts") > 2) & ((F.col("other") != F.col("own"))))
-        block = F.when(F.col("parts") <= 2, F.xxhash64("token")).otherwise(F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")))
-        more = join_blocks(paired.select(block.alias("block"), "did", "comp"), sets, percent)
-        links = links.unionByName(st.put(more, "links-2"))
+        upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+        inside, outside = rest.where("comp = main"), rest.where("comp <> main")
+        own = lambda n: F.pmod(F.xxhash64("did"), n)
+        with_main = inside.withColumn("j", upto(F.col("others"))).withColumn("i", own(F.col("mains"))).unionByName(outside.withColumn("j", own(F.col("others"))).withColumn("i", upto(F.col("mains"))))
+        pairs = outside.withColumn("i", own(F.col("others"))).withColumn("j", upto(F.col("others"))).where("i <> j")
+        blocks = with_main.select(F.xxhash64("center", F.lit(0), "i", "j").alias("block"), "did", "comp").unionByName(pairs.select(F.xxhash64("center", F.lit(1), F.least("i", "j"), F.greatest("i", "j")).alias("block"), "did", "comp"))
+        links = links.unionByName(st.put(join_blocks(blocks, sets, percent), "links-2"))
         comps = components(links, st, "all")
 
     classes = classes.join(comps.withColumnRenamed("node", "did"), "did", "left").withColumn("component", F.coalesce("comp", "did")).drop("comp", "did", "n")
