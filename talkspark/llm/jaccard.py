@@ -29,7 +29,7 @@ Long texts are worked on whole.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -73,12 +73,12 @@ def _runs(dids: np.ndarray, keys: np.ndarray) -> tuple[bytes, bytes]:
     return dids[at].tobytes(), np.diff(np.concatenate([at, [len(dids)]])).astype(np.uint32).tobytes()
 
 
-def send_tokens(docs: DataFrame, k: int, buckets: int) -> DataFrame:
+def send_tokens(docs: DataFrame, sets_of: Callable[[list[bytes]], list[np.ndarray]], buckets: int) -> DataFrame:
     """Packed tokens: kind 0 to count, kind 1 keys known to be at the cap, kind 2 documents' tokens at the cap (slot by chance)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunked(batches):
-            sets = shingle_sets(texts, k)
+            sets = sets_of(texts)
             h = np.concatenate(sets)
             if not len(h):
                 continue
@@ -283,7 +283,7 @@ def link_components(docs: DataFrame, *, k: int = 4, percent: int = 85) -> DataFr
     classes = st.put(meta.where("n > 0").groupBy("cls").agg(F.min("did").alias("did"), F.max("n").alias("n"), F.min("doc_id").alias("low")), "classes")
     total = meta.agg(F.sum("n")).collect()[0][0] or 0
     buckets = max(8, -(-total // BUCKET_TOKENS))
-    shared = shared_tokens(send_tokens(docs, k, buckets), buckets)
+    shared = shared_tokens(send_tokens(docs, lambda texts: shingle_sets(texts, k), buckets), buckets)
     posts = st.put(prefixes(shared, classes, percent, buckets), "posts")
     spark._jvm.System.gc()  # lets Spark delete the shuffle files that nothing reads any more
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talkspark.llm import decontaminate, jaccard, langid, mixing, pii, secrets, topk, toxicity, warc
+from talkspark.llm import decontaminate, jaccard, langid, mixing, pii, secrets, suffixes, topk, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secrets": secrets.op1_secrets,
         "op2_jaccard": jaccard.op2_jaccard,
         "op3_toxicity": toxicity.op3_toxicity,
+        "op4_suffix_dedup": suffixes.op4_suffix_dedup,
         "op5_pii": pii.op5_pii,
         "op6_mixing": mixing.op6_mixing,
         "op7_decontaminate": decontaminate.op7_decontaminate,
