@@ -1,0 +1 @@
+"""talkspark: spoken-dialogue corpora on Spark, from transcripts to training pairs and their measures."""
