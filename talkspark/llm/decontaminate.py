@@ -72,7 +72,7 @@ class TestSuffixes:
 
 def _keys(table: np.ndarray) -> np.ndarray:
     """Rows of ids as byte strings in the rows' order."""
-    raw = np.ascontiguousarray(table.astype(">u4")).view(np.uint8).reshape(len(table), -1)
+    raw = np.ascontiguousarray(table.astype(">u4")).view(np.uint8).reshape(len(table), 4 * table.shape[1])
     end = np.ones((len(table), 1), np.uint8)  # else numpy would strip zeros at the end
     raw = np.ascontiguousarray(np.hstack([raw, end]))
     return raw.view(f"S{raw.shape[1]}").ravel()

@@ -76,7 +76,7 @@ class Model:
         return [self.languages[k] if ok else "und" for k, ok in zip(best, letters, strict=True)], top, ~letters | (top < self.bounds[best])
 
 
-def fit(rows: list[tuple[bytes, str]], *, clusters: int = 4, steps: int = 8, slack: float = 0.25, seed: int = 5) -> Model:
+def fit(rows: list[tuple[bytes, str]], *, clusters: int = 4, steps: int = 8, slack: float = 0.1, seed: int = 5) -> Model:
     """rows: (text, language). ``slack`` of a centroid's lowest training cosine (0.1 % quantile) is its bound."""
     rows = sorted(rows, key=lambda r: (r[1], r[0]))
     vectors, langs = [], []

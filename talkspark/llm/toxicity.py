@@ -11,7 +11,7 @@ in toxic labelled texts form a lexicon, and toxic texts are graded 1 to ``levels
 quantiles of how many of them they hold. Labels with more than two levels are taken as grades.
 
 Fitting reads at most about ``rows_per_class`` labelled rows of each label (a documented bound,
-4000 by default); rows weigh so that the classes count as in the whole table. Scoring
+3000 by default); rows weigh so that the classes count as in the whole table. Scoring
 reads every whole text once, with a model of at most ``features`` weights, and shuffles nothing.
 
 Nulls: a null text has no words; a null doc_id has no label; rows of labels with nulls are not
@@ -121,7 +121,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int, float]], *, levels: int =
     return Model(vocabulary[keep], w, b)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, rows_per_class: int = 4000, **options: float) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, rows_per_class: int = 3000, **options: float) -> Model:
     labels = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     totals = {r["toxic"]: r["n"] for r in labels.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a grade
     if len(totals) < 2:

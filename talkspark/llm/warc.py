@@ -97,8 +97,7 @@ def inflate(data: bytes, step: int = 1 << 16) -> Iterator[bytes]:
             piece = b""
             if d.eof:
                 piece, d = d.unused_data, zlib.decompressobj(_GZIP)
-    if (rest := d.flush()) or False:
-        yield rest
+    yield d.flush()
 
 
 def normalise_stream(data: bytes, level: int = 6) -> tuple[bytes, list[dict]]:
@@ -203,7 +202,7 @@ def export_files(archives: DataFrame, uri: str) -> DataFrame:
         for batch in batches:
             for r in batch.to_pylist():
                 for suffix, content in ((".warc.gz", r["data"]), (".cdx.json", json.dumps(r["index"]).encode())):
-                    with fs.open_output_stream(f"{root}/{r['archive']}{suffix}") as f:
+                    with fs.open_output_stream(f"{root}/{r['archive']}{suffix}", compression=None) as f:
                         f.write(content)
                 yield pa.RecordBatch.from_arrays([pa.array([r["archive"]]), pa.array([len(r["data"])], pa.int64())], ["archive", "bytes"])
 
