@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,12 +44,12 @@ def evaluate(predictions: DataFrame) -> DataFrame:
 FEATURES = ("filler_rate", "tokens_per_sentence", "contraction_rate")
 
 
-def spoken_features(rows: DataFrame, body: str, more: Callable[[Column], dict[str, Column]] | None = None) -> DataFrame:
-    """The rows with the surface features; ``more`` adds others (parts of speech) where a tagger is at hand."""
+def feature_columns(body: str, more: Callable[[Column], dict[str, Column]] | None = None) -> dict[str, Column]:
+    """The surface features of a text column; ``more`` adds others (parts of speech) where a tagger is at hand."""
     value = F.coalesce(F.col(body), F.lit(""))
     words = counts.tokens(value)
     found = counts.surface_features(value, words)
-    return rows.withColumns({"filler_rate": found["filler_rate"], "tokens_per_sentence": found["tokens_per_sentence"], "contraction_rate": counts.contraction_rate(value, words)} | (more(value) if more else {}))
+    return {"filler_rate": found["filler_rate"], "tokens_per_sentence": found["tokens_per_sentence"], "contraction_rate": counts.contraction_rate(value, words)} | (more(value) if more else {})
 
 
 def train_spokenness(pairs: DataFrame, features: tuple[str, ...] = FEATURES, seed: int = 42) -> tuple[PipelineModel, dict]:
@@ -59,7 +58,7 @@ def train_spokenness(pairs: DataFrame, features: tuple[str, ...] = FEATURES, see
     Without a tagger it has three of the six features, so it is a model of surface features.
     """
     sides = F.array(F.struct(F.col("spoken_text").alias("body"), F.lit(1.0).alias("label")), F.struct(F.col("formal_text").alias("body"), F.lit(0.0).alias("label")))
-    rows = spoken_features(pairs.select("pair_id", F.inline(sides)), "body")
+    rows = pairs.select("pair_id", F.inline(sides)).withColumns(feature_columns("body"))
     n = rows.count()
     if not n:
         raise ValueError("no pairs to train on")
@@ -75,16 +74,20 @@ def train_spokenness(pairs: DataFrame, features: tuple[str, ...] = FEATURES, see
     return fit(rows, n), metrics
 
 
-def score_spokenness(rows: DataFrame, body: str, model: PipelineModel, out: str = "p_spoken") -> DataFrame:
-    kept = rows.columns
-    return model.transform(spoken_features(rows, body)).select(*kept, vector_to_array("probability")[1].alias(out))
-
-
 def logistic_score(rows: DataFrame, body: str, weights: dict[str, float], bias: float, out: str = "p_spoken") -> DataFrame:
     """P(spoken) from given weights of raw features, within codegen."""
-    kept = rows.columns
-    z = sum((F.col(k) * w for k, w in weights.items()), F.lit(bias))
-    return spoken_features(rows, body).select(*kept, (1 / (1 + F.exp(-z))).alias(out))
+    found = feature_columns(body)
+    z = sum((found[k] * w for k, w in weights.items()), F.lit(bias))
+    return rows.withColumn(out, 1 / (1 + F.exp(-z)))
+
+
+def score_spokenness(rows: DataFrame, body: str, model: PipelineModel, out: str = "p_spoken") -> DataFrame:
+    """P(spoken) by a trained model, its scaling folded into the weights."""
+    assembler, scaler, classifier = model.stages
+    scales = [(c, m, s) for c, m, s in zip(classifier.coefficients, scaler.mean, scaler.std, strict=True)]
+    weights = {k: float(c / s) if s else 0.0 for k, (c, _, s) in zip(assembler.getInputCols(), scales, strict=True)}
+    bias = float(classifier.intercept) - sum(float(c * m / s) if s else 0.0 for c, m, s in scales)
+    return logistic_score(rows, body, weights, bias, out)
 
 
 def spoken_shift(predictions: DataFrame, score: Callable[[DataFrame, str, str], DataFrame]) -> DataFrame:

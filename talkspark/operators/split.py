@@ -104,4 +104,5 @@ def sample_by_hash(rows: DataFrame, target: int = 2000, seed: int = 42) -> DataF
     """Half of the target from each type by a hash order of speakers, without the driver; windows run over speakers of a type."""
     sizes = rows.groupBy("speaker").agg(F.count(F.lit(1)).alias("n")).join(majority_type(rows), "speaker")
     before = W.partitionBy("meeting_type").orderBy(F.xxhash64(F.lit(seed), "speaker"), "speaker").rowsBetween(W.unboundedPreceding, -1)
-    return rows.join(sizes.where(F.coalesce(F.sum("n").over(before), F.lit(0)) < target // 2).select("speaker"), "speaker", "left_semi")
+    sizes = sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    return rows.join(sizes.where(F.col("before") < target // 2).select("speaker"), "speaker", "left_semi")

@@ -36,29 +36,38 @@ def _r(c: Column) -> Column:
     return F.round(c, 9)
 
 
-T, WORDS = F.col("text"), counts.tokens(F.col("text"))
+
+
+def _t() -> Column:
+    return F.col("text")
+
+
+def _words() -> Column:
+    return counts.tokens(_t())
+
+
 _U = f"with {UTT} select conv_id, pos, "
 
 
 @query(f"{_U} len({words_sql('txt')})::bigint n from utt")
 def tok_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _utt(spark, sf_dir, n=F.size(WORDS).cast("long"))
+    return _utt(spark, sf_dir, n=F.size(_words()).cast("long"))
 
 
 @query(f"{_U} {fillers_sql('w')} n from (select *, {words_sql('txt')} w from utt)")
 def filler_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _utt(spark, sf_dir, n=counts.filler_count(WORDS))
+    return _utt(spark, sf_dir, n=counts.filler_count(_words()))
 
 
 @query(f"{_U} len(regexp_extract_all(txt, '<pause:short>'))::bigint short, len(regexp_extract_all(txt, '<pause:long>'))::bigint long from utt")
 def pause_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _utt(spark, sf_dir, short=counts.pause_count(T, "short"), long=counts.pause_count(T, "long"))
+    return _utt(spark, sf_dir, short=counts.pause_count(_t(), "short"), long=counts.pause_count(_t(), "long"))
 
 
 @query(rf"""{_U} len(regexp_extract_all(txt, ','))::bigint commas, len(regexp_extract_all(txt, '\?'))::bigint questions, len(regexp_extract_all(txt, '\.'))::bigint periods, len(regexp_extract_all(txt, '!'))::bigint exclaims,
 len(regexp_extract_all(regexp_replace(txt, '<pause:[\p{{L}}\p{{N}}_]+>', ' ', 'g'), ' +[.,?!;:]'))::bigint space_before from utt""")
 def punct_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _utt(spark, sf_dir, commas=counts.char_count(T, ","), questions=counts.char_count(T, "?"), periods=counts.char_count(T, "."), exclaims=counts.char_count(T, "!"), space_before=counts.space_before_punctuation(T))
+    return _utt(spark, sf_dir, commas=counts.char_count(_t(), ","), questions=counts.char_count(_t(), "?"), periods=counts.char_count(_t(), "."), exclaims=counts.char_count(_t(), "!"), space_before=counts.space_before_punctuation(_t()))
 
 
 _SURFACE = f"""len(w)::double tokens, case when len(w) > 0 then {fillers_sql("w")} / len(w) else 0.0 end filler_rate,
@@ -68,7 +77,7 @@ case when len(w) > 0 then len(w) / greatest(len(list_filter(regexp_split_to_arra
 
 @query(f"with {UTT}, f as (select conv_id, pos, {_SURFACE} from (select *, {words_sql('txt')} w from utt)) select conv_id, pos, tokens, round(filler_rate::double, 9) filler_rate, round(pause_rate::double, 9) pause_rate, round(tokens_per_sentence::double, 9) tokens_per_sentence from f")
 def surface_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _utt(spark, sf_dir, **{k: _r(v) for k, v in counts.surface_features(T, WORDS).items()})
+    return _utt(spark, sf_dir, **{k: _r(v) for k, v in counts.surface_features(_t(), _words()).items()})
 
 
 @query(rf"""with {SENT}, x as (select conv_id, turn, i, case when i % 3 = 0 then 'It''s ' || t || ' gonna don''t' else t end txt from sent)
@@ -76,7 +85,7 @@ select conv_id, turn, i, round((len(regexp_extract_all(txt, '(?i)\b(?:it|don)''(
 def contraction_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.when(F.col("i") % 3 == 0, F.concat(F.lit("It's "), F.col("t"), F.lit(" gonna don't"))).otherwise(F.col("t"))
     rows = views.sentences(spark, sf_dir).withColumn("text", body)
-    return rows.select("conv_id", "turn", "i", _r(counts.contraction_rate(T, WORDS)).alias("rate"))
+    return rows.select("conv_id", "turn", "i", _r(counts.contraction_rate(_t(), _words())).alias("rate"))
 
 
 def _chain(x: str, rules: list[tuple[str, str]]) -> str:
@@ -117,7 +126,7 @@ def clean_nxt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_U} {punct_sql('txt')} as text from utt")
 def norm_punct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _utt(spark, sf_dir, text=text.normalize_punctuation(T))
+    return _utt(spark, sf_dir, text=text.normalize_punctuation(_t()))
 
 
 @query(f"with {PAIRS} select stem, seq, replace(translate(formal_text, '‘’“”‐‑‒–—―', '''''\"\"------'), '…', '...') as text from pv")
@@ -130,12 +139,12 @@ _P = r"regexp_replace(txt, '<pause:[\p{L}\p{N}_]+>', '%s', 'g')"
 
 @query(f"{_U} {squeeze_sql(_P % '')} as text from utt")
 def strip_special(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _utt(spark, sf_dir, text=text.strip_special(T))
+    return _utt(spark, sf_dir, text=text.strip_special(_t()))
 
 
 @query(f"{_U} {squeeze_sql(_P % ' ')} as text from utt")
 def strip_pauses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _utt(spark, sf_dir, text=text.strip_pauses(T))
+    return _utt(spark, sf_dir, text=text.strip_pauses(_t()))
 
 
 _STYLE_SQL = "case style " + " ".join(f"when '{k}' then '{t}' || chr(10) || '{i}'" for k, (t, i) in formats.STYLES.items()) + " end"
@@ -160,7 +169,7 @@ def extract_formal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_U} sha256('v2' || chr(0) || 'model' || chr(0) || txt || chr(0)) as k from utt")
 def cache_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _utt(spark, sf_dir, k=counts.cache_key(F.lit("v2"), F.lit("model"), T))
+    return _utt(spark, sf_dir, k=counts.cache_key(F.lit("v2"), F.lit("model"), _t()))
 
 
 @query(f"with {MONO} select conv_id::varchar stem, conv_id || '#mono_' || printf('%04d', seq) monologue_id, seq::bigint seq, speaker, txt as text, n_tokens::bigint n_tokens from mo")
@@ -233,7 +242,7 @@ def stem_meeting_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {MONO} select conv_id::varchar stem, seq::bigint seq, conv_id % 2 = 0 from_cache, case when conv_id % 2 = 0 then 'kept ' else 'new ' end || {squeeze_sql(_P % '')} response from mo")
 def cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = turns.build_monologues(views.utterances(spark, sf_dir)).withColumn("user", text.strip_special(T))
+    m = turns.build_monologues(views.utterances(spark, sf_dir)).withColumn("user", text.strip_special(_t()))
     kept = m.where(F.col("stem").cast("long") % 2 == 0)
     key = counts.cache_key(F.lit("v"), F.lit("model"), F.col("user"))
     # of equal texts in odd and even conversations, the cache has the even ones' key

@@ -26,7 +26,7 @@ UTTERANCE = ["source", "stem", "pos", "utterance_id", "speaker", "text", "t_star
 
 def read_whole(spark: SparkSession, path: str) -> DataFrame:
     """(file, content); names that begin with _ or . are skipped, as everywhere in Spark."""
-    return spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("content"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("content"))
 
 
 def stems(files: DataFrame, suffix: str) -> DataFrame:
@@ -202,12 +202,9 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, required: tuple[str,
 
 
 def write_jsonl(rows: DataFrame, path: str) -> int:
-    """Overwrites; returns the number of rows, counted while writing."""
-    from pyspark.sql import Observation
-
-    seen = Observation()
-    rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
-    return seen.get["n"]
+    """Overwrites; returns the number of rows, counted in what was written."""
+    rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    return rows.sparkSession.read.text(path).count()
 
 
 def write_summary(summary: DataFrame, path: str) -> None:
