@@ -104,8 +104,11 @@ def send_tokens(docs: DataFrame, sets_of: Callable[[list[bytes]], list[np.ndarra
     return docs.select("did", "body").mapInArrow(work, _PACKED)
 
 
-def shared_tokens(packed: DataFrame, buckets: int) -> DataFrame:
-    """Counts each bucket's tokens; packed (slot by document, dids, counts, tokens, df) of the tokens with two documents or more."""
+def shared_tokens(packed: DataFrame, buckets: int, cap: int = CAP) -> DataFrame:
+    """Counts each bucket's tokens; packed (slot by document, dids, counts, tokens, df) of the tokens with two documents or more.
+
+    df stops at ``cap`` (16 bits); tokens that a chunk knows to be at the cap are there at once.
+    """
 
     def work(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket = key[0].as_py()
@@ -130,15 +133,15 @@ def shared_tokens(packed: DataFrame, buckets: int) -> DataFrame:
             at = np.flatnonzero(new)
             count = np.diff(np.concatenate([at, [len(key32)]]))
             if capped:
-                count[np.isin(key32[at], np.concatenate(capped))] = CAP
-            each = np.minimum(np.repeat(count, np.diff(np.concatenate([at, [len(key32)]]))), CAP)
+                count[np.isin(key32[at], np.concatenate(capped))] = cap
+            each = np.minimum(np.repeat(count, np.diff(np.concatenate([at, [len(key32)]]))), cap)
             more = each >= 2
             did, tok, df = d[more], np.int64(bucket) << 32 | key32[more].astype(np.int64), each[more]
         for d, t in through:
-            did, tok, df = np.concatenate([did, d]), np.concatenate([tok, t]), np.concatenate([df, np.full(len(t), CAP, np.int64)])
+            did, tok, df = np.concatenate([did, d]), np.concatenate([tok, t]), np.concatenate([df, np.full(len(t), cap, np.int64)])
         slot = did % buckets
         order = np.lexsort((did, slot))
-        did, tok, df, slot = did[order], tok[order], df[order].astype(np.uint8), slot[order]
+        did, tok, df, slot = did[order], tok[order], df[order].astype(np.uint16), slot[order]
         for s in np.unique(slot):
             a, b = np.searchsorted(slot, [s, s + 1])
             d, c = _runs(did[a:b], tok[a:b])
@@ -151,11 +154,11 @@ def prefixes(shared: DataFrame, reps: DataFrame, percent: int, buckets: int) ->
     """(token, did): the prefix tokens, shared by others, of the sets that have fewer tokens of their own than their prefix."""
 
     def work(sizes: pa.Table, packed: pa.Table) -> pa.Table:
-        dids, toks, dfs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)]
+        dids, toks, dfs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint16)]
         for r in packed.to_pylist():
             dids.append(np.repeat(np.frombuffer(r["dids"], np.int64), np.frombuffer(r["counts"], np.uint32)))
             toks.append(np.frombuffer(r["tokens"], np.int64))
-            dfs.append(np.frombuffer(r["df"], np.uint8))
+            dfs.append(np.frombuffer(r["df"], np.uint16))
         did, tok, df = np.concatenate(dids), np.concatenate(toks), np.concatenate(dfs)
         order = np.lexsort((tok, df, did))
         did, tok = did[order], tok[order]

@@ -17,7 +17,8 @@ smaller doc_id; all strings are judged on the input.
    equal ones, all but those of the smallest doc_id are repeats.
 4. Repeats go back to their documents as byte ranges, are joined, and cut.
 
-Whole documents that repeat an earlier one are cut without going through 1 to 3, and of runs
+Strings with an anchor that ``HOT`` documents or more have, or that is frequent within a chunk, are dealt out one by one by their own hash, so that
+no anchor's surroundings gather in one bucket. Whole documents that repeat an earlier one are cut without going through 1 to 3, and of runs
 that repeat within a task's texts, only the smallest document's goes to a bucket; so a
 text or passage that a third of all documents has never meets in one task in full.
 
@@ -45,6 +46,7 @@ from talkspark.llm.jaccard import send_tokens, shared_tokens
 WIDTH, GRAM = 50, 20
 BUCKET_BYTES = 24_000_000  # of input text for each bucket
 ARRAY_BYTES = 1 << 19  # of text for each suffix array, or all of one anchor
+HOT = 60_000  # documents of an anchor from which on its strings are dealt out one by one
 SEEN = 100_000  # runs that a task remembers
 
 
@@ -144,12 +146,15 @@ _RUNS = "kind int, slot int, dids binary, ids binary, starts binary, lengths bin
 
 
 def send_runs(docs: DataFrame, slots: int) -> DataFrame:
-    """docs: (did, id, z, tokens). kind 0: runs of suffixes with shared anchors, by anchor; kind 1: ranges known to repeat, by document."""
+    """docs: (did, id, z, tokens, hot). kind 0: runs of suffixes with shared anchors, by anchor; kind 1: ranges known to repeat, by document.
+
+    Strings with an anchor that very many documents have go one by one, by their own hash.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip, seen = zstandard.ZstdDecompressor(), {}
 
-        def flush(dids: list, ids: list, texts: list, tokens: list) -> pa.RecordBatch | None:
+        def flush(dids: list, ids: list, texts: list, tokens: list, hots: list) -> pa.RecordBatch | None:
             anchor, whole = anchors(texts)
             token = ((anchor >> np.uint64(32)) % np.uint64(slots)).astype(np.int64) << 32 | anchor.astype(np.uint32)
             new = whole & np.concatenate([[True], (anchor[1:] != anchor[:-1]) | ~whole[:-1]])
@@ -158,22 +163,41 @@ def send_runs(docs: DataFrame, slots: int) -> DataFrame:
             rows: dict[int, list] = {}
             known: tuple[list, list, list] = ([], [], [])
             at = 0
-            for did, doc, text, own in zip(dids, ids, texts, tokens, strict=True):
+
+            def repeated(did: int, doc: int, start: int, end: int, piece: bytes) -> bool:
+                """Whether this task has seen the piece in a smaller document; its range is then known."""
+                before = seen.get(piece)
+                if before is not None and before < doc:
+                    if known[0] and known[0][-1] == did and known[1][-1] <= start <= known[2][-1]:
+                        known[2][-1] = max(known[2][-1], end)
+                    else:
+                        known[0].append(did)
+                        known[1].append(start)
+                        known[2].append(end)
+                    return True
+                if before is None or doc < before:
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen[piece] = doc
+                return False
+
+            for did, doc, text, own, hot in zip(dids, ids, texts, tokens, hots, strict=True):
                 a, b = np.searchsorted(first, [at, at + len(text) + 1])
                 tok = token[first[a:b]]
+                common = set(hot.tolist())
                 for s, e, k in zip((first[a:b] - at)[m := np.isin(tok, own)].tolist(), (stop[a:b] - at)[m].tolist(), tok[m].tolist(), strict=True):
                     piece = text[s : e + WIDTH - 1]
-                    before = seen.get(piece)
-                    if before is not None and before < doc:
-                        known[0].append(did)
-                        known[1].append(s)
-                        known[2].append(e + WIDTH - 1)
+                    if repeated(did, doc, s, e + WIDTH - 1, piece):
+                        continue
+                    if k not in common:
+                        rows.setdefault(k >> 32, []).append((did, doc, s, piece, k))
                         continue
-                    if before is None or doc < before:
-                        if len(seen) >= SEEN:
-                            seen.clear()
-                        seen[piece] = doc
-                    rows.setdefault(k >> 32, []).append((did, doc, s, piece, k))
+                    for i in range(e - s):
+                        one = piece[i : i + WIDTH]
+                        if e - s > 1 and repeated(did, doc, s + i, s + i + WIDTH, one):
+                            continue
+                        h = int.from_bytes(hashlib.blake2b(one, digest_size=7).digest())
+                        rows.setdefault((h >> 32) % slots, []).append((did, doc, s + i, one, h))
                 at += len(text) + 1
             out = []
             for slot, some in rows.items():
@@ -185,7 +209,7 @@ def send_runs(docs: DataFrame, slots: int) -> DataFrame:
                 return None
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate([pa.int32(), pa.int32(), *[pa.binary()] * 6])], ["kind", "slot", "dids", "ids", "starts", "lengths", "anchors", "data"])
 
-        held: tuple[list, list, list, list] = ([], [], [], [])
+        held: tuple[list, ...] = ([], [], [], [], [])
         size = 0
         for batch in batches:
             for i in range(batch.num_rows):
@@ -193,14 +217,14 @@ def send_runs(docs: DataFrame, slots: int) -> DataFrame:
                 if held[0] and size + len(text) > 1 << 20:
                     if (row := flush(*held)) is not None:
                         yield row
-                    held, size = ([], [], [], []), 0
+                    held, size = ([], [], [], [], []), 0
                 size += len(text)
-                for into, x in zip(held, (batch.column("did")[i].as_py(), batch.column("id")[i].as_py(), text, np.frombuffer(batch.column("tokens")[i].as_py(), np.int64)), strict=True):
+                for into, x in zip(held, (batch.column("did")[i].as_py(), batch.column("id")[i].as_py(), text, *(np.frombuffer(batch.column(c)[i].as_py(), np.int64) for c in ("tokens", "hot"))), strict=True):
                     into.append(x)
         if held[0] and (row := flush(*held)) is not None:
             yield row
 
-    return docs.select("did", "id", "z", "tokens").mapInArrow(work, _RUNS)
+    return docs.select("did", "id", "z", "tokens", "hot").mapInArrow(work, _RUNS)
 
 
 def repeats(pieces: list[bytes], ids: np.ndarray, width: int = WIDTH) -> list[np.ndarray]:
@@ -335,17 +359,19 @@ def _collect_ranges(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[p
 
 
 def _collect_tokens(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(did, tokens): each document's shared anchors."""
-    dids, toks = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    """(did, tokens, hot): each document's shared anchors, and those of them that HOT documents or more have, or many in one chunk."""
+    dids, toks, dfs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint16)]
     for batch in batches:
         for r in batch.to_pylist():
             dids.append(np.repeat(np.frombuffer(r["dids"], np.int64), np.frombuffer(r["counts"], np.uint32)))
             toks.append(np.frombuffer(r["tokens"], np.int64))
-    did, tok = np.concatenate(dids), np.concatenate(toks)
+            dfs.append(np.frombuffer(r["df"], np.uint16))
+    did, tok, df = np.concatenate(dids), np.concatenate(toks), np.concatenate(dfs)
     order = np.argsort(did, kind="stable")
-    did, tok = did[order], tok[order]
+    did, tok, hot = did[order], tok[order], df[order] >= HOT
     at = np.searchsorted(did, ids := np.unique(did))
-    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([tok[a:b].tobytes() for a, b in zip(at, [*at[1:], len(did)], strict=True)], pa.binary())], ["did", "tokens"])
+    parts = list(zip(at, [*at[1:], len(did)], strict=True))
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([tok[a:b].tobytes() for a, b in parts], pa.binary()), pa.array([tok[a:b][hot[a:b]].tobytes() for a, b in parts], pa.binary())], ["did", "tokens", "hot"])
 
 
 def zipped(docs: DataFrame) -> DataFrame:
@@ -367,8 +393,8 @@ def cut_repeats(docs: DataFrame, *, with_text: bool = False) -> DataFrame:
     meta = st.put(docs.select("rid", "doc_id", "id", "did", F.octet_length("body").cast("long").alias("n_bytes"), F.sha2("body", 256).alias("sha")), "meta")
     firsts = st.put(meta.where(f"n_bytes >= {WIDTH} and id is not null").groupBy("sha").agg(F.min(F.struct("id", "did")).alias("f")).select("sha", "f.id", "f.did"), "firsts")
     slots = max(8, -(-(meta.agg(F.sum("n_bytes")).collect()[0][0] or 0) // BUCKET_BYTES))
-    shared = shared_tokens(send_tokens(docs.where("id is not null"), _anchor_sets, slots), slots)
-    tokens = st.put(shared.groupBy("slot").applyInArrow(_collect_tokens, "did long, tokens binary").join(firsts.select("did"), "did", "left_semi"), "tokens")
+    shared = shared_tokens(send_tokens(docs.where("id is not null"), _anchor_sets, slots), slots, HOT)
+    tokens = st.put(shared.groupBy("slot").applyInArrow(_collect_tokens, "did long, tokens binary, hot binary").join(firsts.select("did"), "did", "left_semi"), "tokens")
     spark._jvm.System.gc()  # lets Spark delete the shuffle files that nothing reads any more
     texts = zipped(docs.where("id is not null"))
     runs = st.put(send_runs(texts.join(tokens, "did"), slots), "runs")

@@ -168,6 +168,16 @@ def test_suffix_dedup(spark, data):
     assert all(hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] for r in whole.collect())
 
 
+def test_suffix_dedup_common_anchor(spark):
+    """A string that most documents have, in surroundings that differ or repeat."""
+    r = random.Random(4)
+    common = "".join(r.choice("abcdefgh") for _ in range(45))
+    near = ["".join(r.choice("xyz") for _ in range(12)) for _ in range(9)]
+    rows = [(i, f"{r.choice(near)}{common}{r.choice(near)} {i}") for i in range(300)]
+    got = suffixes.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string")).drop("rid")
+    _same(got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect(), suffixes.brute_force(rows))
+
+
 def test_pii(spark, data):
     got = pii.op5_pii(spark, data).drop("spans").collect()
     _same(got, pii.brute_force(_docs(spark, data)))
