@@ -196,8 +196,8 @@ def oracle() -> str:
     return f"""
 with d as (select row_number() over () r, doc_id, coalesce(text, '') t from documents),
 m as ({" union all ".join(parts)}),
-u as (select r, ord, kind, least, unnest(range(1, len(hit) + 1)) i, hit, grp, gap from m),
-s as (select r, ord, kind, i, length(grp[i]) >= least ok, length(hit[i]) n, sum(length(gap[i]) + length(hit[i])) over (partition by r, ord order by i) stop from u),
+u as (select r, ord, kind, least, unnest(range(1, len(hit) + 1)) i, unnest(hit) hit, unnest(grp) grp, unnest(gap[1:len(hit)]) gap from m),
+s as (select r, ord, kind, i, length(grp) >= least ok, length(hit) n, sum(length(gap) + length(hit)) over (partition by r, ord order by i) stop from u),
 f as (select r, ord, kind, stop - n st, stop en from s where ok),
 g as (select r, {counts},
   string_agg(kind || ':' || st::bigint || ':' || en::bigint, ',' order by st, ord) filter (kind in ({base})) b,
