@@ -73,6 +73,13 @@ def _runs(dids: np.ndarray, keys: np.ndarray) -> tuple[bytes, bytes]:
     return dids[at].tobytes(), np.diff(np.concatenate([at, [len(dids)]])).astype(np.uint32).tobytes()
 
 
+def _split(slots: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The values of each slot, both being sorted by slot."""
+    at = np.flatnonzero(np.concatenate([[True], slots[1:] != slots[:-1]])) if len(slots) else np.zeros(0, np.int64)
+    for a, b in zip(at, [*at[1:], len(slots)], strict=True):
+        yield int(slots[a]), values[a:b]
+
+
 def send_tokens(docs: DataFrame, sets_of: Callable[[list[bytes]], list[np.ndarray]], buckets: int) -> DataFrame:
     """Packed tokens: kind 0 to count, kind 1 keys known to be at the cap, kind 2 documents' tokens at the cap (slot by chance)."""
 
@@ -89,15 +96,15 @@ def send_tokens(docs: DataFrame, sets_of: Callable[[list[bytes]], list[np.ndarra
             out: list[tuple] = []
             order = np.flatnonzero(~hot)
             order = order[np.argsort(slot[order], kind="stable")]
-            cut = np.searchsorted(slot[order], np.arange(buckets + 1))
-            for b in range(buckets):
-                if cut[b] < cut[b + 1]:
-                    some = order[cut[b] : cut[b + 1]]
-                    out.append((b, 0, *_runs(did[some], key[some]), key[some].tobytes()))
+            for b, some in _split(slot[order], order):  # the buckets that the chunk has, however many there are
+                out.append((b, 0, *_runs(did[some], key[some]), key[some].tobytes()))
             if hot.any():
                 full = slot[hot].astype(np.int64) << 32 | key[hot]
-                for b in np.unique(slot[hot]):
-                    out.append((int(b), 1, b"", b"", np.unique(key[hot & (slot == b)]).tobytes()))
+                at_cap = np.unique(h[hot])
+                of = ((at_cap >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+                at_cap = at_cap[by := np.argsort(of, kind="stable")].astype(np.uint32)
+                for b, some in _split(of[by], at_cap):
+                    out.append((b, 1, b"", b"", np.unique(some).tobytes()))
                 out.append((int(did[0] % buckets), 2, *_runs(did[hot], full), full.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate([pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()])], ["slot", "kind", "dids", "counts", "keys"])
 
@@ -142,10 +149,9 @@ def shared_tokens(packed: DataFrame, buckets: int, cap: int = CAP) -> DataFrame:
         slot = did % buckets
         order = np.lexsort((did, slot))
         did, tok, df, slot = did[order], tok[order], df[order].astype(np.uint16), slot[order]
-        for s in np.unique(slot):
-            a, b = np.searchsorted(slot, [s, s + 1])
-            d, c = _runs(did[a:b], tok[a:b])
-            yield pa.RecordBatch.from_arrays([pa.array([int(s)], pa.int32()), pa.array([d], pa.binary()), pa.array([c], pa.binary()), pa.array([tok[a:b].tobytes()], pa.binary()), pa.array([df[a:b].tobytes()], pa.binary())], ["slot", "dids", "counts", "tokens", "df"])
+        for s, some in _split(slot, np.arange(len(slot))):
+            d, c = _runs(did[some], tok[some])
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([d], pa.binary()), pa.array([c], pa.binary()), pa.array([tok[some].tobytes()], pa.binary()), pa.array([df[some].tobytes()], pa.binary())], ["slot", "dids", "counts", "tokens", "df"])
 
     return packed.groupBy("slot").applyInArrow(work, "slot int, dids binary, counts binary, tokens binary, df binary")
 
