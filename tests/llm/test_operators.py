@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from talkspark.llm import decontaminate, jaccard, langid, mixing, pii, registry, secrets, suffixes, topk, toxicity, warc
+from talkspark.llm.common import Staged
 
 R = random.Random(3)
 VOCABULARY = ["".join(R.choice("abcdeéß") for _ in range(R.randint(2, 6))) for _ in range(300)]
@@ -290,3 +291,73 @@ def test_pipeline(spark, data, empty):
         assert seen.columns == docs.columns, name
     assert corpus_pipeline.run(spark, data).count() == seen.count() > 0
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def _in_stages(spark, data):
+    """(name, its input's rows, its output's rows) of the pipeline's first four stages, each staged as the driver does."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    st = Staged(spark, "test-pipeline")
+    docs = st.put(spark.read.parquet(f"{data}/documents.parquet"), "documents")
+    out = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = st.put(stage(spark, docs, data), name)
+        rows = [[tuple(r) for r in x.select("doc_id", "text", "source").collect()] for x in (docs, after)]
+        out[name], docs = (docs, *rows), after
+    return out
+
+
+def test_pipeline_stages_against_brute_force(spark, data):
+    """Each stage's kept rows from its own input, by plain loops; the mix's totals and bounds on all rows."""
+    stages = _in_stages(spark, data)
+    order = lambda rows: sorted(rows, key=str)
+
+    docs, before, after = stages["language_id"]
+    model = langid.train(docs)
+    rejected = [model.score([(t or "").encode()])[2][0] for _, t, _ in before]
+    assert order(after) == order(r for r, gone in zip(before, rejected, strict=True) if not gone)
+    assert 0 < sum(rejected) < len(before) // 2
+
+    _, before, after = stages["near_duplicates"]
+    groups = jaccard.brute_force([(i, t) for i, (_, t, _) in enumerate(before)], 5, 80)
+    members: dict = {}
+    for i, (row, (_, n, group)) in enumerate(zip(before, groups, strict=True)):
+        members.setdefault(group if n else ("empty", i), []).append(row)
+    assert len(after) == len(members) < len(before)
+    # of each group the smallest doc_id stays, nulls last
+    low = lambda rows: min((r[0] is None, r[0] or 0) for r in rows)
+    assert sorted(low(rows) for rows in members.values()) == sorted(low([r]) for r in after)
+    assert set(after) <= set(before)
+
+    _, before, after = stages["decontamination"]
+    items = [tuple(r) for r in spark.read.parquet(f"{data}/benchmark.parquet").select("item_id", "text").collect()]
+    bad = [r[5] for r in decontaminate.brute_force([r[:2] for r in before], items)]
+    assert order(after) == order(r for r, gone in zip(before, bad, strict=True) if not gone)
+    assert any(bad)
+
+    _, before, after = stages["secrets"]
+    expected = []
+    for doc_id, text, source in before:
+        covered = [False] * len(text or "")
+        cuts = []
+        for a, b in sorted(m.span() for r in secrets.BASE_RULES + secrets.MORE_RULES for m in re.finditer(r.pattern, text or "") if len(m[r.group]) >= r.least):
+            if cuts and a <= cuts[-1][1]:
+                cuts[-1][1] = max(b, cuts[-1][1])
+            else:
+                cuts.append([a, b])
+        for a, b in cuts:
+            covered[a:b] = [True] * (b - a)
+        starts = {a for a, _ in cuts}
+        clean = None if text is None else "".join("[SECRET]" if i in starts else "" if covered[i] else c for i, c in enumerate(text))
+        expected.append((doc_id, clean, source))
+    assert order(after) == order(expected) != order(before)
+
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    mixed = corpus_pipeline.run(spark, data).collect()
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    assert sorted(((r["doc_id"], r["source"], r["size"]) for r in mixed), key=str) == sorted(((d, s, size(t)) for d, t, s in after), key=str)
+    taken: dict = {}
+    for r in mixed:
+        assert 0 <= r["taken"] <= 2 * r["size"]
+        n, _ = taken.get(r["source"], (0, 0))
+        taken[r["source"]] = (n + r["taken"], r["target"])
+    assert all(abs(n - target) <= 0.5 for n, target in taken.values())
