@@ -40,19 +40,32 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["p"][:n], _powers["i"]
 
 
-def word_hashes(texts: list[bytes], is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, offsets): text i has the words offsets[i] to offsets[i + 1]. A-Z count as a-z."""
+#: Bytes of words that are hashed at a time.
+PIECE = 1 << 20
+
+
+def word_edges(texts: list[bytes], is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(folded bytes of the joined texts, starts and ends of the words, offsets): text i has the words offsets[i] to offsets[i + 1]."""
     buf = LOWER[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
-    inside = is_word[buf]
-    edge = np.flatnonzero(np.diff(inside, prepend=False))  # starts and ends in turn; the last byte is a separator
+    edge = np.flatnonzero(np.diff(is_word[buf], prepend=False))  # starts and ends in turn; the last byte is a separator
     ends_at = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
-    starts = edge[::2]
-    offsets = np.concatenate([[0], np.searchsorted(starts, ends_at)])
-    if not len(starts):
-        return np.zeros(0, np.uint64), offsets
-    power, inverse = _power_tables(len(buf))
-    sums = np.add.reduceat(_CODE[buf] * power, edge)[::2]
-    return mix(sums * inverse[starts]), offsets
+    return buf, edge[::2], edge[1::2], np.concatenate([[0], np.searchsorted(edge[::2], ends_at)])
+
+
+def word_hashes(texts: list[bytes], is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, offsets): text i has the words offsets[i] to offsets[i + 1]. A-Z count as a-z."""
+    buf, starts, ends, offsets = word_edges(texts, is_word)
+    out, at = np.zeros(len(starts), np.uint64), 0
+    while at < len(starts):
+        low = starts[at]
+        stop = max(at + 1, int(np.searchsorted(starts, low + PIECE)))
+        high = ends[stop - 1] + 1  # with the separator
+        power, inverse = _power_tables(high - low)
+        edge = np.stack([starts[at:stop], ends[at:stop]], 1).ravel() - low
+        sums = np.add.reduceat(_CODE[buf[low:high]] * power, edge)[::2]
+        out[at:stop] = mix(sums * inverse[starts[at:stop] - low])
+        at = stop
+    return out, offsets
 
 
 def prefix_hashes(texts: list[bytes], is_word: np.ndarray, lengths: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
