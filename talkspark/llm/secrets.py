@@ -5,18 +5,25 @@ Boolean query over trigrams: an OR of ANDs that every text with a match satisfie
 index holds a posting (trigram, row key) for each trigram of the rules' vocabulary and each
 text that has it, over folded text; postings of one clause are intersected by OR-ing one bit
 a trigram, and only rows that satisfy some clause of a rule are verified by its regex.
-Rules without mandatory trigrams (``hex``) scan every text.
+Rules without mandatory trigrams (``hex``) scan every text. The candidates (a key and rule names) are
+staged, so that Spark knows their size when it chooses how to bring them to the texts: to all
+executors where they are few, else by a shuffle.
 
 Spans are leftmost non-overlapping matches by rule, in code points, end exclusive. Texts
-are read whole: the pieces between matches give the offsets, so no text is cut.
+are read whole: the pieces between matches give the offsets, so no text is cut. Running sums over
+matches go in blocks of about the square root of their number, so very long texts with very
+many matches stay far from quadratic time.
 
 Nulls: a null text counts as empty; a null doc_id is kept. Repeated rows each get their
-own, equal row. An empty table gives an empty result. Extra columns are ignored.
+own, equal row. Ties: spans of different rules may overlap or start together, and each counts,
+in the order of the rules. An empty table gives an empty result. Extra columns are ignored;
+``redact`` returns them as they are.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from itertools import product
@@ -24,7 +31,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkspark.llm.common import read_table, row_key
+from talkspark.llm.common import Staged, fresh, read_table, row_key
 
 _parse, _C = re._parser.parse, re._constants
 
@@ -131,50 +138,98 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return met.groupBy("rid").agg(F.collect_set("kind").alias("kinds"))
 
 
-def spans_of(text: Column, rule: Rule, order: int) -> Column:
-    """array<struct(start, ord, end, kind)> of the rule's matches that pass, in code points."""
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of the value, which is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _blocks(items: Column) -> Column:
+    """The items in blocks of about the square root of their number."""
+    wide = F.ceil(F.sqrt(F.size(items))).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), F.ceil(F.size(items) / wide).cast("int") - 1), lambda k: F.slice(items, k * wide + 1, wide))
+    return F.when(F.size(items) > 0, cut).otherwise(F.filter(F.array(items), lambda x: F.lit(False)))
+
+
+def running(items: Column, zero: Column, onward: Callable[[Column, Column], Column], emit: Callable[[Column, Column], Column], kind: str) -> Column:
+    """``emit`` of what came before each item and the item; ``onward`` moves that on. Block by block, so that arrays that grow stay short."""
+    none = F.array().cast(f"array<{kind}>")
+
+    def within(block: Column, start: Column) -> Column:
+        step = lambda acc, x: F.struct(onward(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(emit(acc["at"], x))).alias("out"))
+        return F.aggregate(block, F.struct(start.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+    def starts(blocks: Column) -> Column:
+        step = lambda acc, block: F.struct(F.aggregate(block, acc["at"], onward).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(blocks, F.struct(zero.alias("at"), F.array().cast("array<int>").alias("out")), step, lambda acc: acc["out"])
+
+    return bind(_blocks(items), lambda blocks: bind(starts(blocks), lambda at: F.flatten(F.transform(blocks, lambda block, i: within(block, F.get(at, i))))))
+
+
+SPAN = "struct<start:int,ord:int,end:int,kind:string>"
+
+
+HIT = "struct<gap:int,hit:int,ok:boolean>"
+
+
+def hits_of(text: Column, rule: Rule) -> Column:
+    """array<struct(gap, hit, ok)> of the rule's matches: the code points before each since the last one and in it, and whether it passes."""
     found = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)).alias("hit"), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)).alias("grp"))
     found = F.filter(found, lambda x: x["hit"].isNotNull())
-    lengths = F.transform(found, lambda x: F.struct(F.char_length(x["gap"]).alias("gap"), F.char_length(x["hit"]).alias("hit"), (F.char_length(x["grp"]) >= rule.least).alias("ok")))
-    empty = F.array().cast("array<struct<start:int,ord:int,end:int,kind:string>>")
+    return F.transform(found, lambda x: F.struct(F.char_length(x["gap"]).alias("gap"), F.char_length(x["hit"]).alias("hit"), (F.char_length(x["grp"]) >= rule.least).alias("ok")))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        span = F.struct(start.alias("start"), F.lit(order).alias("ord"), (start + x["hit"]).alias("end"), F.lit(rule.kind).alias("kind"))
-        return F.struct((start + x["hit"]).alias("at"), F.when(x["ok"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(lengths, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+def spans_by_rule(text: Column, kinds: Column, rules: tuple[Rule, ...]) -> Column:
+    """All spans by start, then rule; ``kinds`` are the rules with an index that the text is a candidate of."""
+    parts = []
+    for n, rule in enumerate(rules):
+        indexed = trigram_query(rule.pattern) is not None
+        test = F.array_contains(kinds, rule.kind) if indexed else text.rlike(FULL_SCAN.get(rule.kind, rule.pattern))
+        hits = F.when(test, hits_of(text, rule)).otherwise(F.array().cast(f"array<{HIT}>"))
+        parts.append(F.struct(F.lit(n).alias("ord"), F.lit(rule.kind).alias("kind"), hits.alias("hits")))
+
+    def spans(r: Column) -> Column:
+        onward = lambda at, x: at + x["gap"] + x["hit"]
+        span = lambda at, x: F.struct((at + x["gap"]).alias("start"), r["ord"].alias("ord"), onward(at, x).alias("end"), F.when(x["ok"], r["kind"]).alias("kind"))
+        return running(r["hits"], F.lit(0), onward, span, SPAN)
+
+    found = F.filter(F.array(*parts), lambda r: F.size(r["hits"]) > 0)
+    return F.array_sort(F.filter(F.flatten(F.transform(found, spans)), lambda x: x["kind"].isNotNull()))
+
+
+def _candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    slim = docs.select(row_key().alias("rid"), F.coalesce(F.col("text"), F.lit("")).alias("body"))
+    return Staged(docs.sparkSession, "secrets").put(candidates(slim, tuple(r for r in rules if trigram_query(r.pattern) is not None)), "candidates")
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) -> DataFrame:
     """One row a document: rid, doc_id, body (the text, null: empty) and spans by start, then rule."""
-    docs = docs.select(row_key().alias("rid"), "doc_id", F.coalesce(F.col("text"), F.lit("")).alias("body"))
-    indexed = tuple(r for r in rules if trigram_query(r.pattern) is not None)
-    out = docs.join(candidates(docs, indexed), "rid", "left")
-    none = F.array().cast("array<struct<start:int,ord:int,end:int,kind:string>>")
-    parts = []
-    for n, rule in enumerate(rules):
-        test = F.array_contains("kinds", rule.kind) if rule in indexed else F.col("body").rlike(FULL_SCAN.get(rule.kind, rule.pattern))
-        parts.append(F.when(test, spans_of(F.col("body"), rule, n)).otherwise(none))
-    return out.select("rid", "doc_id", "body", F.array_sort(F.concat(*parts)).alias("spans"))
+    out = docs.select(row_key().alias("rid"), "doc_id", F.coalesce(F.col("text"), F.lit("")).alias("body")).join(_candidates(docs, rules), "rid", "left")
+    return out.select("rid", "doc_id", "body", spans_by_rule(F.col("body"), F.col("kinds"), rules).alias("spans"))
+
+
+def covered(text: Column, spans: Column, by: str) -> Column:
+    """The text with ``by`` for the characters of the spans (by start); spans that overlap or touch become one."""
+    seen = running(spans, F.lit(-1), lambda at, x: F.greatest(at, x["end"]), lambda at, x: F.struct(F.greatest(at, F.lit(0)).alias("free"), x["start"].alias("start"), (x["start"] > at).alias("new")), "struct<free:int,start:int,new:boolean>")
+
+    def gaps(block: Column) -> Column:
+        """The text before each run; a block's part of the text is cut out first, so that none is counted through from its start."""
+        low = F.element_at(block, 1)["free"]
+        part = F.struct(low.alias("low"), F.substring(text, low + 1, F.element_at(block, -1)["start"] - low).alias("text"))
+        return bind(part, lambda p: F.transform(block, lambda x: F.substring(p["text"], x["free"] - p["low"] + 1, x["start"] - x["free"])))
+
+    runs = bind(F.filter(seen, lambda x: x["new"]), lambda heads: F.flatten(F.transform(_blocks(heads), gaps)))
+    return F.array_join(F.concat(runs, F.array(F.substring(text, F.array_max(F.transform(spans, lambda x: x["end"])) + 1, F.char_length(text)))), by)
 
 
-def redact(docs: DataFrame) -> DataFrame:
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) -> DataFrame:
     """The documents with each secret's characters replaced by [SECRET]; overlapping spans become one. n_chars follows the text."""
-    found = scan(docs).where(F.size("spans") > 0)
-    merged = F.aggregate(
-        "spans",
-        F.array().cast("array<struct<s:int,e:int>>"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["e"] >= x["start"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["s"].alias("s"), F.greatest(F.element_at(acc, -1)["e"], x["end"]).alias("e"))))).otherwise(F.concat(acc, F.array(F.struct(x["start"].alias("s"), x["end"].alias("e"))))),
-    )
-    found = found.withColumn("runs", merged)
-    kept = F.concat(F.transform("runs", lambda x, i: F.substring(F.col("body"), F.when(i > 0, F.get(F.col("runs"), i - 1)["e"]).otherwise(F.lit(0)) + 1, x["s"] - F.when(i > 0, F.get(F.col("runs"), i - 1)["e"]).otherwise(F.lit(0)))), F.array(F.substring(F.col("body"), F.element_at("runs", -1)["e"] + 1, F.char_length("body"))))
-    found = found.select(F.col("rid").alias("__rid"), F.array_join(kept, "[SECRET]").alias("__clean")).dropDuplicates(["__rid"])
-    out = docs.withColumn("__rid", row_key()).join(found, "__rid", "left")
-    changed = {"text": F.coalesce("__clean", "text")}
+    rid, kinds, spans = (fresh(docs, c) for c in ("rid", "kinds", "spans"))
+    out = docs.withColumn(rid, row_key()).join(_candidates(docs, rules).withColumnsRenamed({"rid": rid, "kinds": kinds}), rid, "left")
+    out = out.withColumn(spans, spans_by_rule(F.coalesce(F.col("text"), F.lit("")), F.col(kinds), rules))
+    out = out.withColumn("text", F.when(F.size(spans) > 0, covered(F.col("text"), F.col(spans), "[SECRET]")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("__clean").isNotNull(), F.char_length("__clean").cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumns(changed).select(*[f"`{c}`" for c in docs.columns])
+        out = out.withColumn("n_chars", F.when(F.size(spans) > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*[f"`{c}`" for c in docs.columns])
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
