@@ -2,20 +2,25 @@
 
 DataFrame and SQL functions only. Each source's documents are hashed into blocks; the
 hash is the source's permutation. A source with S words and a target of T lays its blocks
-on a line of S words, and the mix takes words [0, min(T, S)) in a first pass and
-[0, T - S) in a second, so that a source's words taken are its target, rounded, exactly
-and no document is taken more than twice. The (pass, block) draws of all sources are dealt
-to the output shards by a binary tree: each node splits its exact block counts by source
-between its two halves with a multivariate hypergeometric draw, and each shard then reads
-disjoint ranges of each source's permuted blocks and orders its rows by a local hash.
+on a line of S words; the blocks of its quota are those that begin in the first min(T, S) words and,
+drawn a second time, in the first T - S. These exact block quotas of all sources are split among the
+output shards by a binary tree: each node splits its counts by source between its two halves
+with a multivariate hypergeometric draw. Each shard then draws disjoint ranges of each
+source's permuted blocks, as many as its leaf says, and orders its rows by a local hash. What is
+taken of a document is what the drawn blocks bring of it: all its words, but for the last block of
+a draw, which is cut where the source's target, rounded, is met. So a source's words are its
+target exactly and no document is taken more than twice.
 
 Nulls: a null text has size 0, a null source is a source of its own and comes last, a null
-doc_id is a value like any other. Repeated rows are separate documents. Empty tables give
-empty results. Extra columns are ignored.
+doc_id is a value like any other. Repeated rows are separate documents: they are counted first and
+told apart at the end, so that many equal rows are one row of a block. Very long texts are one
+document of their block, cut only where a target ends in them. Ties: equal hashes go by doc_id.
+Empty tables give empty results. Extra columns are ignored.
 
 What is kept on one row are the block counts by source; the mixture's sources are a
 dimension (a few to some thousands), not data. Everything by document is partitioned by
-(source, block), about ``docs_per_block`` rows each, however large the source.
+(source, block), about ``docs_per_block`` rows each, however large the source. The number of shards
+follows from the words of the mix, ``shard_words`` each, 16 at least.
 """
 
 from __future__ import annotations
@@ -37,7 +42,7 @@ def source_targets(slim: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: f
     total = F.sum("source_size").over(W.partitionBy())
     left = F.lit(share) * total - F.coalesce(F.sum("cap").over(by_fill.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     level = left / F.sum("weight").over(by_fill.rowsBetween(0, W.unboundedFollowing))
-    out = slim.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("source_size"))
+    out = slim.groupBy("source").agg(F.sum("copies").alias("n"), F.sum(F.col("size") * F.col("copies")).alias("source_size"))
     out = out.withColumn("seq", F.row_number().over(by_name).cast("long"))
     out = out.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("seq") - 1, F.lit(len(weights))) + 1).cast("int")))
     out = out.withColumn("cap", cap * F.col("source_size")).withColumn("fill", F.col("cap") / F.col("weight")).withColumn("level", level)
@@ -71,7 +76,7 @@ def split_tree(counts: DataFrame, depth: int, seed: int) -> DataFrame:
     return out.select((F.col("node") - (1 << depth)).alias("shard"), "counts")
 
 
-def mix(docs: DataFrame, *, depth: int = 4, docs_per_block: int = 256, blocks_per_group: int = 1024, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, *, depth: int | None = None, shard_words: int = 1 << 26, docs_per_block: int = 256, blocks_per_group: int = 1024, seed: int = 7) -> DataFrame:
     """One row a document: rid, doc_id, source, size, source_size, target, taken and draws.
 
     draws: array of (pass, shard, place, words), one for each time the mix takes words of the
@@ -80,13 +85,17 @@ def mix(docs: DataFrame, *, depth: int = 4, docs_per_block: int = 256, blocks_pe
     spark = docs.sparkSession
     st = Staged(spark, "mix")
     slim = docs.select(row_key().alias("rid"), "doc_id", "source", F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long").alias("size"))
+    slim = slim.groupBy("rid", "doc_id", "source", "size").agg(F.count(F.lit(1)).alias("copies"))
     slim = st.put(slim.withColumn("h", F.xxhash64(F.lit(seed), "rid")), "slim")
     src = source_targets(slim).withColumn("goal", F.least(F.floor(F.col("target") + 0.5), 2 * F.col("source_size")))
     src = st.put(src.withColumn("n_blocks", F.ceil(F.col("n") / docs_per_block)), "sources")
+    if depth is None:
+        words = src.agg(F.sum("goal")).collect()[0][0] or 0
+        depth = max(4, (max(1, int(words) // shard_words) - 1).bit_length())
     dealt = slim.join(src.select("seq", F.col("source").alias("s"), "source_size", "target", "goal", "n_blocks"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64(F.col("h")), F.col("n_blocks")))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64(F.col("h")), F.col("n_blocks"))).withColumn("span", F.col("size") * F.col("copies"))
     # offsets of blocks on their source's line, by groups of blocks so that no window holds a whole source
-    blocks = dealt.groupBy("seq", "block").agg(F.sum("size").alias("words"), F.first("source_size").alias("size_s"), F.first("goal").alias("goal_s"))
+    blocks = dealt.groupBy("seq", "block").agg(F.sum("span").alias("words"), F.first("source_size").alias("size_s"), F.first("goal").alias("goal_s"))
     blocks = st.put(blocks.withColumn("grp", F.floor(F.col("block") / blocks_per_group)), "blocks")
     groups = blocks.groupBy("seq", "grp").agg(F.sum("words").alias("g_words"), F.count(F.lit(1)).alias("g_n"))
     before = W.partitionBy("seq").orderBy("grp").rowsBetween(W.unboundedPreceding, -1)
@@ -102,24 +111,31 @@ def mix(docs: DataFrame, *, depth: int = 4, docs_per_block: int = 256, blocks_pe
     quotas = quotas.select("shard", "quota", F.col("names")[F.col("i")]["seq"].alias("seq"), F.col("names")[F.col("i")]["n1"].alias("n1"))
     upto = F.sum("quota").over(W.partitionBy("seq").orderBy("shard"))
     quotas = quotas.withColumn("upto", upto).groupBy("seq").agg(F.max("n1").alias("n1"), F.array_sort(F.collect_list("upto")).alias("ends"))
-    shard_of = lambda r: F.size(F.filter("ends", lambda e: e <= r))
-    placed = blocks.join(quotas, "seq").select("seq", "block", "at", F.when(F.col("first"), shard_of(F.col("rank"))).alias("shard1"), F.when(F.col("second"), shard_of(F.col("n1") + F.col("rank"))).alias("shard2"))
+    # each shard draws as many of the permuted blocks as its leaf says: ranks below its end and from the end before it on
+    shard_of = lambda r: F.when(r < F.element_at("ends", -1), F.size(F.filter("ends", lambda e: e <= r)))
+    second = F.when(F.col("second"), F.col("n1") + F.col("rank"))
+    placed = blocks.join(quotas, "seq").select("seq", "block", "at", shard_of(F.when(F.col("first"), F.col("rank"))).alias("shard1"), shard_of(second).alias("shard2"))
     inside = W.partitionBy("seq", "block").orderBy("h", "doc_id", "size")
-    out = dealt.join(st.put(placed, "placed"), ["seq", "block"]).withColumn("from", F.col("at") + F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
+    out = dealt.join(st.put(placed, "placed"), ["seq", "block"]).withColumn("from", F.col("at") + F.sum("span").over(inside.rowsBetween(W.unboundedPreceding, 0)) - F.col("span"))
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).withColumn("from", F.col("from") + F.col("copy") * F.col("size"))
     part = lambda end: F.least("size", F.greatest(F.lit(0).cast("long"), end - F.col("from")))
     out = out.withColumn("w1", part(F.least("goal", "source_size"))).withColumn("w2", part(F.col("goal") - F.col("source_size")))
-    draw = lambda p: F.when(F.col(f"w{p}") > 0, F.struct(F.lit(p).alias("pass"), F.col(f"shard{p}").alias("shard"), F.xxhash64(F.lit(seed + p), "h").alias("place"), F.col(f"w{p}").alias("words")))
-    return out.select("rid", "doc_id", "source", "size", "source_size", "target", (F.col("w1") + F.col("w2")).alias("taken"), F.array_compact(F.array(draw(1), draw(2))).alias("draws"))
+    drawn = lambda p: F.col(f"shard{p}").isNotNull() & (F.col(f"w{p}") > 0)
+    draw = lambda p: F.when(drawn(p), F.struct(F.lit(p).alias("pass"), F.col(f"shard{p}").alias("shard"), F.xxhash64(F.lit(seed + p), "h", "copy").alias("place"), F.col(f"w{p}").alias("words")))
+    out = out.withColumn("draws", F.array_compact(F.array(draw(1), draw(2))))
+    return out.select("rid", "doc_id", "source", "size", "source_size", "target", F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"]).alias("taken"), "draws")
 
 
 def write_shards(docs: DataFrame, plan: DataFrame, path: str) -> None:
     """Writes the mix: the first ``words`` words of each document drawn, by shard, in the shard's own order."""
-    rows = plan.select("rid", F.inline("draws")).dropDuplicates(["rid", "pass"])
-    texts = docs.select(row_key().alias("rid"), "doc_id", "source", "text")
+    rows = plan.select("rid", "source", F.inline("draws")).withColumnRenamed("source", "of")
+    texts = docs.select(row_key().alias("rid"), "doc_id", "source", "text").dropDuplicates(["rid", "source"])
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("words").cast("int")), " ")
-    out = texts.join(rows, "rid").select("shard", "place", "doc_id", "source", cut.alias("text"))
+    out = texts.join(rows, (texts["rid"] == rows["rid"]) & texts["source"].eqNullSafe(rows["of"])).select("shard", "place", "doc_id", "source", cut.alias("text"))
     out.repartition("shard", F.pmod(F.col("place"), F.lit(64))).sortWithinPartitions("shard", "place").write.mode("overwrite").partitionBy("shard").parquet(path)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """The contract's columns, then what the shards draw: an array each of their numbers, the row's place in them and the words taken."""
+    out = mix(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", "taken", F.col("draws.shard").alias("shards"), F.col("draws.place").alias("places"), F.col("draws.words").alias("words"))
