@@ -11,16 +11,22 @@ in toxic labelled texts form a lexicon, and toxic texts are graded 1 to ``levels
 quantiles of how many of them they hold. Labels with more than two levels are taken as grades.
 
 Fitting reads at most about ``rows_per_class`` labelled rows of each label (a documented bound,
-3000 by default); rows weigh so that the classes count as in the whole table. Scoring
-reads every whole text once, with a model of at most ``features`` weights, and shuffles nothing.
+3000 by default, 2 x as a hard limit) as at most ``TOKENS_SENT`` distinct tokens each, those of the
+smallest hashes, so the driver gets at most 8 bytes x TOKENS_SENT a row; rows weigh so that the
+classes count as in the whole table. Scoring reads every whole text once, with a model of at
+most ``features`` weights, and shuffles nothing.
 
 Nulls: a null text has no words; a null doc_id has no label; rows of labels with nulls are not
-learned from. Without two labels to learn from, every severity is 0. Repeated rows get equal
-results. Empty tables give empty results. Extra columns are ignored.
+learned from. Without two labels to learn from, every severity is 0. Of several labels of a
+doc_id the highest counts; ties of the chosen words go by their hash. Repeated rows get equal
+results. Very long texts are scored whole, in pieces of work bounded by their own size. Empty tables
+give empty results. Extra columns are ignored. Tokens are compared by 32-bit hashes.
 """
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,6 +39,7 @@ from talkspark.llm.common import chunked, keyed, read_table
 from talkspark.llm.hashing import ALNUM, prefix_hashes, word_hashes
 
 PREFIXES = (4, 5, 6)
+TOKENS_SENT = 4096
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -42,7 +49,7 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     more = prefix_hashes(texts, ALNUM, PREFIXES)
     text = np.concatenate([text, *[text[i] for i, _ in more]])
     order = np.argsort(text, kind="stable")
-    return np.concatenate([hashes, *[h for _, h in more]])[order], text[order]
+    return (np.concatenate([hashes, *[h for _, h in more]])[order] >> np.uint64(32)).astype(np.uint32), text[order]
 
 
 @dataclass
@@ -70,7 +77,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int, float]], *, levels: int =
     """rows: (distinct word hashes, their counts, label, weight)."""
     rows = sorted((r for r in rows), key=lambda r: (r[2], len(r[0]), r[0].tobytes()))
     label = np.array([r[2] for r in rows], np.int64)
-    none = Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
+    none = Model(np.zeros(0, np.uint32), np.zeros(0), np.zeros(0))
     if len(set(label.tolist())) < 2:
         return none
     weight = np.array([r[3] for r in rows])
@@ -133,14 +140,14 @@ def train(docs: DataFrame, labels: DataFrame, *, rows_per_class: int = 3000, **o
         for batch, texts in chunked(batches):
             hashes, text_of = tokens(texts)
             offsets = np.searchsorted(text_of, np.arange(len(texts) + 1))
-            each = [np.unique(hashes[a:b], return_counts=True) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            each = [[x[:TOKENS_SENT] for x in np.unique(hashes[a:b], return_counts=True)] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([w.tobytes() for w, _ in each], pa.binary()), pa.array([n.astype(np.int32).tobytes() for _, n in each], pa.binary())], ["toxic", "words", "tally"])
 
     body = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body"))
     # the sample has a bounded size, so it is the side to send
-    rows = body.join(F.broadcast(chosen), "doc_id").select("toxic", "body").mapInArrow(count, "toxic int, words binary, tally binary").collect()
+    rows = body.join(F.broadcast(chosen), "doc_id").select("toxic", "body").mapInArrow(count, "toxic int, words binary, tally binary").limit(2 * rows_per_class * len(totals)).collect()
     got = {k: sum(r["toxic"] == k for r in rows) for k in totals}
-    return fit([(np.frombuffer(bytes(w), np.uint64), np.frombuffer(bytes(n), np.int32), k, totals[k] / max(got[k], 1)) for k, w, n in rows], **options)
+    return fit([(np.frombuffer(bytes(w), np.uint32), np.frombuffer(bytes(n), np.int32), k, totals[k] / max(got[k], 1)) for k, w, n in rows], **options)
 
 
 def grade(docs: DataFrame, model: Model) -> DataFrame:
@@ -158,3 +165,21 @@ def grade(docs: DataFrame, model: Model) -> DataFrame:
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return grade(docs, train(docs, read_table(spark, sf_dir, "labels"))).drop("rid")
+
+
+def brute_force(docs: list[tuple], model: Model) -> list[tuple]:
+    """op3's rows (doc_id, severity, p_toxic, toxic) by plain loops over a fitted model, for tests."""
+    weights = dict(zip(model.words.tolist(), model.weights.tolist(), strict=True))
+    out = []
+    for doc_id, text in docs:
+        tally: dict[int, int] = {}
+        for word in re.findall(rb"[0-9A-Za-z\x80-\xff]+", (text or "").encode()):
+            for part in (word, *(word[:n] for n in PREFIXES if len(word) > n)):
+                # a beginning's hash depends on its length: that of a longer word with it
+                h = tokens([word])[0].tolist()
+                key = h[0] if part is word else h[1 + [n for n in PREFIXES if len(word) > n].index(len(part))]
+                tally[key] = tally.get(key, 0) + 1
+        z = sum(math.log1p(n) * weights.get(k, 0.0) for k, n in tally.items())
+        above = [1 / (1 + math.exp(max(-50.0, min(50.0, b - z)))) for b in model.thresholds.tolist()]
+        out.append((doc_id, sum(above), above[0] if above else 0.0, bool(above) and above[0] >= 0.5))
+    return out
