@@ -15,28 +15,31 @@ of copies are not listed one by one.
    that which no other document has, and are done.
 4. The sets that share a prefix token meet in blocks: first with the smallest of each token's
    list (a star, so that a group of near copies costs its size), then, where a list still
-   spans several components, all of the list in chunks. In a block the sets form
+   spans several components, the members of like size, in chunks: sizes are graded so that sets
+   that can link are in one grade or two neighbouring ones. In a block the sets form
    a prefix tree with compressed paths; each set walks the tree, nodes share partial
    overlaps, and subtrees are pruned where overlap so far plus remaining length is too small.
 5. Components of the links by star rounds over tables.
 
 Nulls: a null text has no words; documents without words have n_shingles 0, link with nothing
 and are their own component. A null doc_id counts as none (a component of only such is null).
-Repeated rows are in one class. Empty tables give empty results. Extra columns are ignored.
-Long texts are worked on whole.
+Repeated rows are in one class. Ties of a component's smallest doc_id are one value, and of a token's
+rank go by hash. Empty tables give empty results. Extra columns are ignored; ``keep_one`` returns
+them as they are. Long texts are worked on whole.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkspark.llm.common import Staged, chunked, keyed, read_table, row_key
+from talkspark.llm.common import Staged, chunked, clashes, fresh, keyed, numbered, read_table, row_key
 from talkspark.llm.components import components
 from talkspark.llm.hashing import shingle_sets
 
@@ -75,7 +78,9 @@ def _runs(dids: np.ndarray, keys: np.ndarray) -> tuple[bytes, bytes]:
 
 def _split(slots: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """The values of each slot, both being sorted by slot."""
-    at = np.flatnonzero(np.concatenate([[True], slots[1:] != slots[:-1]])) if len(slots) else np.zeros(0, np.int64)
+    if not len(slots):
+        return
+    at = np.flatnonzero(np.concatenate([[True], slots[1:] != slots[:-1]]))
     for a, b in zip(at, [*at[1:], len(slots)], strict=True):
         yield int(slots[a]), values[a:b]
 
@@ -157,7 +162,7 @@ def shared_tokens(packed: DataFrame, buckets: int, cap: int = CAP) -> DataFrame:
 
 
 def prefixes(shared: DataFrame, reps: DataFrame, percent: int, buckets: int) -> DataFrame:
-    """(token, did): the prefix tokens, shared by others, of the sets that have fewer tokens of their own than their prefix."""
+    """(token, did, n): the prefix tokens, shared by others, of the sets that have fewer tokens of their own than their prefix; n is the set's size."""
 
     def work(sizes: pa.Table, packed: pa.Table) -> pa.Table:
         dids, toks, dfs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint16)]
@@ -173,10 +178,10 @@ def prefixes(shared: DataFrame, reps: DataFrame, percent: int, buckets: int) ->
         left = n - (percent * n + 99) // 100 + 1 - (n - (b - a))  # prefix tokens beyond those of its own
         take = np.clip(left, 0, b - a)
         at = np.repeat(a - np.cumsum(take) + take, take) + np.arange(take.sum())
-        return pa.table({"token": pa.array(tok[at]), "did": pa.array(np.repeat(ids, take))})
+        return pa.table({"token": pa.array(tok[at]), "did": pa.array(np.repeat(ids, take)), "n": pa.array(np.repeat(n, take))})
 
     left = reps.withColumn("slot", F.pmod("did", F.lit(buckets)).cast("int")).select("slot", "did", "n").groupBy("slot")
-    return left.cogroup(shared.groupBy("slot")).applyInArrow(work, "token long, did long").dropDuplicates()
+    return left.cogroup(shared.groupBy("slot")).applyInArrow(work, "token long, did long, n long").dropDuplicates()
 
 
 def _member(x: np.ndarray, seg: np.ndarray) -> int:
@@ -280,25 +285,30 @@ def join_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("block").applyInArrow(work, "a long, b long")
 
 
-def link_components(docs: DataFrame, *, k: int = 4, percent: int = 85) -> DataFrame:
-    """One row a document: rid, doc_id, did, n_shingles, cls, component (of classes), component_id and keeper.
+def size_grade(n: Column, percent: int) -> Column:
+    """Sets that can link are of one grade or of neighbouring ones."""
+    if percent == 100:
+        return n
+    return F.floor(F.log(n) / math.log(100 / percent) + 1e-9).cast("long")
 
-    keeper: the row key of the one document of its component that stays (smallest doc_id, then row key).
-    """
-    spark = docs.sparkSession
-    st = Staged(spark, "jaccard")
-    docs = keyed(docs).withColumn("did", F.xxhash64("rid"))
+
+def link_classes(docs: DataFrame, st: Staged, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """((rid, doc_id, did, n, cls) of the documents, (cls, component, component_id) of the classes of equal sets)."""
+    rows = keyed(docs)
+    docs = numbered(rows)
     meta = st.put(describe(docs, k), "meta")
+    if again := clashes(meta):
+        docs = numbered(rows, again)
+        meta = st.put(describe(docs, k), "meta-again")
     classes = st.put(meta.where("n > 0").groupBy("cls").agg(F.min("did").alias("did"), F.max("n").alias("n"), F.min("doc_id").alias("low")), "classes")
     total = meta.agg(F.sum("n")).collect()[0][0] or 0
     buckets = max(8, -(-total // BUCKET_TOKENS))
     shared = shared_tokens(send_tokens(docs, lambda texts: shingle_sets(texts, k), buckets), buckets)
     posts = st.put(prefixes(shared, classes, percent, buckets), "posts")
-    spark._jvm.System.gc()  # lets Spark delete the shuffle files that nothing reads any more
 
     # stars: each token's list with its smallest document
-    lists = posts.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("did").alias("center")).where("m > 1")
-    stars = st.put(posts.join(lists, "token").select("center", "did").where("center <> did").dropDuplicates(), "stars")
+    lists = posts.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("did", "n")).alias("c")).where("m > 1").select("token", F.col("c.did").alias("center"), F.col("c.n").alias("center_n"))
+    stars = st.put(posts.join(lists, "token").select("center", "center_n", "did", "n").where("center <> did").dropDuplicates(["center", "did"]), "stars")
     width = stars.groupBy("center").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
     members = stars.join(width, "center").withColumn("part", F.pmod(F.xxhash64("did"), F.col("parts")))
     heads = members.select("center", "part").dropDuplicates().select("center", "part", F.col("center").alias("did"))
@@ -310,31 +320,40 @@ def link_components(docs: DataFrame, *, k: int = 4, percent: int = 85) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column("did"), pa.array([s.tobytes() for s in shingle_sets(texts, k)], pa.binary())], ["did", "tokens"])
 
     sets = st.put(docs.select("did", "body").join(wanted, "did", "left_semi").mapInArrow(pack_sets, "did long, tokens binary").dropDuplicates(["did"]), "sets")
-    spark._jvm.System.gc()
     links = st.put(join_blocks(members, sets, percent), "links-1")
     comps = components(links, st, "star")
 
-    # a star of one block had all its pairs tested; a larger one that still spans components meets again:
-    # the members outside its main component with all of it and with one another, in chunks
-    spread = stars.unionByName(stars.select("center", F.col("center").alias("did")).dropDuplicates()).join(width.where("parts > 1"), "center")
-    spread = spread.join(comps.withColumnRenamed("node", "did"), "did", "left").select("center", "did", F.coalesce("comp", "did").alias("comp"))
-    sums = spread.groupBy("center", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("center").agg(F.sum("m").alias("m"), F.max(F.struct("m", "comp")).alias("main"))
-    sums = sums.where("m > main.m").select("center", F.col("main.comp").alias("main"), F.ceil(F.col("main.m") / BLOCK).alias("mains"), F.ceil((F.col("m") - F.col("main.m")) / BLOCK).alias("others"))
-    rest = st.put(spread.join(sums, "center"), "rest")
+    # a star of one block had all its pairs tested; a larger one that still spans components meets again, grade by grade of
+    # sizes: the members outside its main component with all of it and with one another, in chunks
+    large = stars.join(width.where("parts > 1"), "center")
+    spread = large.select("center", "did", "n").unionByName(large.select("center", F.col("center").alias("did"), F.col("center_n").alias("n")).dropDuplicates(["center"]))
+    spread = spread.join(comps.withColumnRenamed("node", "did"), "did", "left").select("center", "did", F.coalesce("comp", "did").alias("comp"), size_grade(F.col("n"), percent).alias("own"))
+    # written, so that what follows counts before it shuffles by center
+    spread = st.put(spread.select("*", F.explode(F.array(F.col("own"), F.col("own") + 1)).alias("grade")), "spread")
+    sums = spread.groupBy("center", "grade", "comp").agg(F.count(F.lit(1)).alias("m"), F.max(F.col("own") == F.col("grade")).alias("own"))
+    sums = sums.groupBy("center", "grade").agg(F.sum("m").alias("m"), F.max(F.struct("m", "comp")).alias("main"), F.max("own").alias("own")).where("m > main.m and own")
+    sums = sums.select("center", "grade", F.col("main.comp").alias("main"), F.ceil(F.col("main.m") / BLOCK).alias("mains"), F.ceil((F.col("m") - F.col("main.m")) / BLOCK).alias("others"))
+    rest = st.put(spread.drop("own").join(sums, ["center", "grade"]), "rest")
     if not rest.isEmpty():
         upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
         inside, outside = rest.where("comp = main"), rest.where("comp <> main")
-        own = lambda n: F.pmod(F.xxhash64("did"), n)
-        with_main = inside.withColumn("j", upto(F.col("others"))).withColumn("i", own(F.col("mains"))).unionByName(outside.withColumn("j", own(F.col("others"))).withColumn("i", upto(F.col("mains"))))
-        pairs = outside.withColumn("i", own(F.col("others"))).withColumn("j", upto(F.col("others"))).where("i <> j")
-        blocks = with_main.select(F.xxhash64("center", F.lit(0), "i", "j").alias("block"), "did", "comp").unionByName(pairs.select(F.xxhash64("center", F.lit(1), F.least("i", "j"), F.greatest("i", "j")).alias("block"), "did", "comp"))
+        part = lambda n: F.pmod(F.xxhash64("did"), n)
+        with_main = inside.withColumn("j", upto(F.col("others"))).withColumn("i", part(F.col("mains"))).unionByName(outside.withColumn("j", part(F.col("others"))).withColumn("i", upto(F.col("mains"))))
+        pairs = outside.withColumn("i", part(F.col("others"))).withColumn("j", upto(F.col("others"))).where("i <> j")
+        blocks = with_main.select(F.xxhash64("center", "grade", F.lit(0), "i", "j").alias("block"), "did", "comp").unionByName(pairs.select(F.xxhash64("center", "grade", F.lit(1), F.least("i", "j"), F.greatest("i", "j")).alias("block"), "did", "comp"))
         links = links.unionByName(st.put(join_blocks(blocks, sets, percent), "links-2"))
         comps = components(links, st, "all")
+    st.drop("sets", "posts")
 
     classes = classes.join(comps.withColumnRenamed("node", "did"), "did", "left").withColumn("component", F.coalesce("comp", "did")).drop("comp", "did", "n")
     classes = st.put(classes, "grouped")
     lows = classes.groupBy("component").agg(F.min("low").alias("component_id"))
-    classes = classes.join(lows, "component").select("cls", "component", "component_id")
+    return meta, st.put(classes.join(lows, "component").select("cls", "component", "component_id"), "components")
+
+
+def link_components(docs: DataFrame, *, k: int = 4, percent: int = 85) -> DataFrame:
+    """One row a document: rid, doc_id, did, n_shingles, cls, component (of classes) and component_id."""
+    meta, classes = link_classes(docs, Staged(docs.sparkSession, "jaccard"), k, percent)
     out = meta.join(classes, "cls", "left")
     # documents without words: each is its own component
     return out.select("rid", "doc_id", "did", F.col("n").alias("n_shingles"), "cls", F.col("component"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
@@ -343,17 +362,26 @@ def link_components(docs: DataFrame, *, k: int = 4, percent: int = 85) -> DataFr
 def keep_one(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
     """The documents without those of which another of their component stays (the one with the smallest doc_id, then row key).
 
-    Documents without words all stay; rows that repeat wholly leave one.
+    Documents without words all stay; rows that repeat wholly leave one. The one that stays is
+    found class by class, then component by component, so that no row of a group meets the others.
     """
-    found = Staged(docs.sparkSession, "keep").put(link_components(docs, k=k, percent=percent).where("n_shingles > 0"), "found")
-    best = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("best"))
-    gone = found.join(best, "component").where(F.col("rid") != F.col("best.rid")).select(F.col("rid").alias("__rid")).dropDuplicates()
-    out = docs.withColumn("__rid", row_key()).join(gone, "__rid", "left_anti")
+    st = Staged(docs.sparkSession, "keep")
+    meta, classes = link_classes(docs, st, k, percent)
+    worded = meta.where("n > 0")
+    best = worded.groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("best"))
+    best = best.join(classes, "cls").groupBy("component").agg(F.min("best").alias("best"))
+    rid, stays = fresh(docs, "rid"), fresh(docs, "stays")
+    best = st.put(best.select(F.col("best.rid").alias(rid), F.lit(True).alias(stays)), "best")
+    out = docs.withColumn(rid, row_key()).join(best, rid, "left")
+    has_words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    out = out.where(F.col(stays) | ~has_words)
     # rows that share a key are repeated rows: one of each stays, unless they are empty
-    again = found.groupBy("rid").count().where("count > 1").select(F.col("rid").alias("__rid"), F.lit(True).alias("__again"))
-    out = out.join(again, "__rid", "left")
-    once = out.where("__again").dropDuplicates(["__rid"])
-    return out.where("__again is null").unionByName(once).select(*[f"`{c}`" for c in docs.columns])
+    again = st.put(worded.groupBy("rid").count().where("count > 1").select(F.col("rid").alias(rid)), "again")
+    if not again.isEmpty():
+        twice = fresh(docs, "twice")
+        out = out.join(again.withColumn(twice, F.lit(True)), rid, "left")
+        out = out.where(F.col(twice).isNull()).unionByName(out.where(F.col(twice)).dropDuplicates([rid]))
+    return out.select(*[f"`{c}`" for c in docs.columns])
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
