@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkspark.llm.common import Staged, chunked, keyed, read_table
+from talkspark.llm.common import Staged, chunked, clashes, keyed, numbered, read_table
 from talkspark.llm.hashing import _CODE, _power_tables, mix
 from talkspark.llm.jaccard import send_tokens, shared_tokens
 
@@ -123,6 +123,33 @@ def anchors(texts: list[bytes], width: int = WIDTH, gram: int = GRAM) -> tuple[n
     return out, whole
 
 
+def periodic(texts: list[bytes], width: int = WIDTH, gram: int = GRAM) -> np.ndarray:
+    """Whether the anchor stands twice in the string of ``width`` bytes at each position of the joined texts: a matter of the string alone.
+
+    The other strings with one anchor's occurrence are ``width - gram + 1`` at most, in ``2 * width - gram`` bytes of text.
+    """
+    buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    n, want = len(buf), width - gram + 1
+    out = np.zeros(n, bool)
+    if n < width + 1:
+        return out
+    power, inverse = _power_tables(n)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(_CODE[buf] * power, dtype=np.uint64)])
+    h = mix((sums[gram:] - sums[:-gram]) * inverse[: n - gram + 1]) & ~np.uint64(63)
+    at = np.arange(len(h), dtype=np.uint64) & np.uint64(63)  # a window has fewer than 64 places
+
+    def least(x: np.ndarray) -> np.ndarray:
+        span = 1
+        while span * 2 <= want:
+            x = np.minimum(x[:-span], x[span:])
+            span *= 2
+        return np.minimum(x[: len(x) - (want - span)], x[want - span :])
+
+    low, high = least(h | at) & np.uint64(63), np.uint64(63) - (least(h | (np.uint64(63) - at)) & np.uint64(63))
+    out[: len(low)] = low != high
+    return out
+
+
 def _anchor_sets(texts: list[bytes]) -> list[np.ndarray]:
     anchor, whole = anchors(texts)
     sets, at = [], 0
@@ -142,13 +169,14 @@ def _by_slot(did: np.ndarray, start: np.ndarray, end: np.ndarray, slots: int) ->
         yield int(s), did[some].tobytes(), start[some].tobytes(), end[some].tobytes()
 
 
-_RUNS = "kind int, slot int, dids binary, ids binary, starts binary, lengths binary, anchors binary, data binary"
+_RUNS = "kind int, slot int, dids binary, ids binary, starts binary, ends binary, lengths binary, anchors binary, data binary"
 
 
 def send_runs(docs: DataFrame, slots: int) -> DataFrame:
     """docs: (did, id, z, tokens, hot). kind 0: runs of suffixes with shared anchors, by anchor; kind 1: ranges known to repeat, by document.
 
-    Strings with an anchor that very many documents have go one by one, by their own hash.
+    Strings with an anchor that very many documents have, and periodic ones, go one by one, by their own hash; where a
+    document has such a string again before it ends, it goes once, with all the bytes that the chain covers.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,6 +185,9 @@ def send_runs(docs: DataFrame, slots: int) -> DataFrame:
         def flush(dids: list, ids: list, texts: list, tokens: list, hots: list) -> pa.RecordBatch | None:
             anchor, whole = anchors(texts)
             token = ((anchor >> np.uint64(32)) % np.uint64(slots)).astype(np.int64) << 32 | anchor.astype(np.uint32)
+            alone = whole & periodic(texts)
+            whole = whole & ~alone
+            alone = np.flatnonzero(alone)
             new = whole & np.concatenate([[True], (anchor[1:] != anchor[:-1]) | ~whole[:-1]])
             last = whole & np.concatenate([(anchor[1:] != anchor[:-1]) | ~whole[1:], [True]])
             first, stop = np.flatnonzero(new), np.flatnonzero(last) + 1
@@ -185,29 +216,42 @@ def send_runs(docs: DataFrame, slots: int) -> DataFrame:
                 a, b = np.searchsorted(first, [at, at + len(text) + 1])
                 tok = token[first[a:b]]
                 common = set(hot.tolist())
+                singles: dict[bytes, list[list[int]]] = {}  # of a string sent by itself: where its chains start and end
+
+                def single(i: int, text: bytes = text, singles: dict = singles) -> None:
+                    chains = singles.setdefault(text[i : i + WIDTH], [])
+                    if chains and i <= chains[-1][1]:
+                        chains[-1][1] = i + WIDTH
+                    else:
+                        chains.append([i, i + WIDTH])
+
+                c, d = np.searchsorted(alone, [at, at + len(text) + 1])
+                for i in (alone[c:d] - at)[np.isin(token[alone[c:d]], own)].tolist():
+                    single(i)
                 for s, e, k in zip((first[a:b] - at)[m := np.isin(tok, own)].tolist(), (stop[a:b] - at)[m].tolist(), tok[m].tolist(), strict=True):
                     piece = text[s : e + WIDTH - 1]
                     if repeated(did, doc, s, e + WIDTH - 1, piece):
                         continue
                     if k not in common:
-                        rows.setdefault(k >> 32, []).append((did, doc, s, piece, k))
+                        rows.setdefault(k >> 32, []).append((did, doc, s, e + WIDTH - 1, piece, k))
                         continue
-                    for i in range(e - s):
-                        one = piece[i : i + WIDTH]
-                        if e - s > 1 and repeated(did, doc, s + i, s + i + WIDTH, one):
-                            continue
-                        h = int.from_bytes(hashlib.blake2b(one, digest_size=7).digest())
-                        rows.setdefault((h >> 32) % slots, []).append((did, doc, s + i, one, h))
+                    for i in range(s, e):
+                        single(i)
+                for one, chains in singles.items():
+                    h = int.from_bytes(hashlib.blake2b(one, digest_size=7).digest())
+                    for s, e in chains:
+                        if not repeated(did, doc, s, e, one):
+                            rows.setdefault((h >> 32) % slots, []).append((did, doc, s, e, one, h))
                 at += len(text) + 1
             out = []
             for slot, some in rows.items():
-                data = zstandard.compress(b"".join(x[3] for x in some), 1)
-                out.append((0, slot, *(np.array([x[i] for x in some], np.int64).tobytes() for i in range(3)), np.array([len(x[3]) for x in some], np.int64).tobytes(), np.array([x[4] for x in some], np.int64).tobytes(), data))
+                data = zstandard.compress(b"".join(x[4] for x in some), 1)
+                out.append((0, slot, *(np.array([x[i] for x in some], np.int64).tobytes() for i in range(4)), np.array([len(x[4]) for x in some], np.int64).tobytes(), np.array([x[5] for x in some], np.int64).tobytes(), data))
             if known[0]:
-                out += [(1, s, d, None, a, e, None, None) for s, d, a, e in _by_slot(*(np.array(x, np.int64) for x in known), slots)]
+                out += [(1, s, d, None, a, e, None, None, None) for s, d, a, e in _by_slot(*(np.array(x, np.int64) for x in known), slots)]
             if not out:
                 return None
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate([pa.int32(), pa.int32(), *[pa.binary()] * 6])], ["kind", "slot", "dids", "ids", "starts", "lengths", "anchors", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate([pa.int32(), pa.int32(), *[pa.binary()] * 7])], ["kind", "slot", "dids", "ids", "starts", "ends", "lengths", "anchors", "data"])
 
         held: tuple[list, ...] = ([], [], [], [], [])
         size = 0
@@ -253,34 +297,6 @@ def repeats(pieces: list[bytes], ids: np.ndarray, width: int = WIDTH) -> list[np
     return [found[cut[i] : cut[i + 1]] - begin[i] for i in range(len(pieces))]
 
 
-def promising(runs: list[tuple], width: int = WIDTH) -> list[tuple]:
-    """(did, id, start, piece) cut to between the first and last string whose hash another document's piece has, too."""
-    sizes = np.array([len(x[3]) for x in runs], np.int64)
-    joined = b"".join(x[3] for x in runs)
-    if len(joined) < width:
-        return []
-    buf = np.frombuffer(joined, np.uint8)
-    power, inverse = _power_tables(len(buf))
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(_CODE[buf] * power, dtype=np.uint64)])
-    begin = np.cumsum(sizes) - sizes
-    piece = np.repeat(np.arange(len(runs)), sizes)[: len(buf) - width + 1]
-    at = np.flatnonzero(np.arange(len(piece)) + width <= (begin + sizes)[piece])
-    h = mix((sums[at + width] - sums[at]) * inverse[at])
-    order = np.argsort(h, kind="stable")
-    first = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
-    owner = np.array([x[1] for x in runs], np.int64)[piece[at]][order]
-    differ = np.minimum.reduceat(owner, first) < np.maximum.reduceat(owner, first)
-    live = np.sort(at[order[np.repeat(differ, np.diff(np.concatenate([first, [len(order)]])))]])
-    if not len(live):
-        return []
-    of, where = np.unique(piece[live], return_index=True)
-    out = []
-    for p, a, b in zip(of.tolist(), (live[where] - begin[of]).tolist(), (live[np.concatenate([where[1:], [len(live)]]) - 1] - begin[of]).tolist(), strict=True):
-        did, doc, s, text = runs[p]
-        out.append((did, doc, s + a, text[a : b + width]))
-    return out
-
-
 def find_repeats(runs: DataFrame, slots: int) -> DataFrame:
     """(slot by document, dids, starts, ends): byte ranges covered by repeated strings."""
 
@@ -289,8 +305,8 @@ def find_repeats(runs: DataFrame, slots: int) -> DataFrame:
         for batch in batches:
             for r in batch.to_pylist():
                 data, at = zstandard.decompress(r["data"]), 0
-                for k, did, doc, s, n in zip(*(np.frombuffer(r[c], np.int64).tolist() for c in ("anchors", "dids", "ids", "starts", "lengths")), strict=True):
-                    runs.append((k, did, doc, s, data[at : at + n]))
+                for k, did, doc, s, e, n in zip(*(np.frombuffer(r[c], np.int64).tolist() for c in ("anchors", "dids", "ids", "starts", "ends", "lengths")), strict=True):
+                    runs.append((k, did, doc, s, e, data[at : at + n]))
                     at += n
         # suffixes that can be equal have one anchor: arrays of whole anchors, those with one text apart
         runs.sort(key=lambda x: (x[0], x[2]))
@@ -299,16 +315,16 @@ def find_repeats(runs: DataFrame, slots: int) -> DataFrame:
         for _, g in groupby(runs, key=lambda x: x[0]):
             first: dict[bytes, int] = {}
             texts = []
-            for _, did, doc, s, piece in g:  # of equal runs, the smallest document's goes on
+            for _, did, doc, s, e, piece in g:  # of equal runs, the smallest document's goes on
                 if first.setdefault(piece, doc) < doc:
                     known[0].append(did)
                     known[1].append(s)
-                    known[2].append(s + len(piece))
+                    known[2].append(e)
                 else:
-                    texts.append((did, doc, s, piece))
+                    texts.append((did, doc, s, e, piece))
             if len(first) == 1:
                 continue
-            more = sum(len(x[3]) for x in texts)
+            more = sum(len(x[4]) for x in texts)
             if some and size + more > ARRAY_BYTES:
                 groups.append(some)
                 size, some = 0, []
@@ -318,13 +334,14 @@ def find_repeats(runs: DataFrame, slots: int) -> DataFrame:
             for row in _by_slot(*(np.array(x, np.int64) for x in known), slots):
                 yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32()), *(pa.array([x], pa.binary()) for x in row[1:])], ["slot", "dids", "starts", "ends"])
         for some in [*groups, some] if some else groups:
-            some = promising(some)
-            if not some:
-                continue
-            found = repeats([x[3] for x in some], np.array([x[1] for x in some], np.int64))
+            found = repeats([x[4] for x in some], np.array([x[1] for x in some], np.int64))
             dids, starts, ends = [], [], []
-            for (did, _, s, _), at in zip(some, found, strict=True):
-                if len(at):
+            for (did, _, s, end, piece), at in zip(some, found, strict=True):
+                if len(at) and len(piece) == WIDTH:  # a string by itself stands for its chain
+                    dids.append(np.full(1, did, np.int64))
+                    starts.append(np.full(1, s, np.int64))
+                    ends.append(np.full(1, end, np.int64))
+                elif len(at):
                     cut = np.flatnonzero(np.diff(at) > WIDTH) + 1
                     a = at[np.concatenate([[0], cut])] + s
                     e = at[np.concatenate([cut - 1, [len(at) - 1]])] + s + WIDTH
@@ -389,17 +406,20 @@ def cut_repeats(docs: DataFrame, *, with_text: bool = False) -> DataFrame:
     """One row a document: rid, doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the bytes left)."""
     spark = docs.sparkSession
     st = Staged(spark, "suffixes")
-    docs = keyed(docs).withColumn("did", F.xxhash64("rid")).withColumn("id", F.col("doc_id").cast("long"))
-    meta = st.put(docs.select("rid", "doc_id", "id", "did", F.octet_length("body").cast("long").alias("n_bytes"), F.sha2("body", 256).alias("sha")), "meta")
+    rows = keyed(docs).withColumn("id", F.col("doc_id").cast("long"))
+    docs = numbered(rows)
+    describe = lambda: docs.select("rid", "doc_id", "id", "did", F.octet_length("body").cast("long").alias("n_bytes"), F.sha2("body", 256).alias("sha"))
+    meta = st.put(describe(), "meta")
+    if again := clashes(meta):
+        docs = numbered(rows, again)
+        meta = st.put(describe(), "meta-again")
     firsts = st.put(meta.where(f"n_bytes >= {WIDTH} and id is not null").groupBy("sha").agg(F.min(F.struct("id", "did")).alias("f")).select("sha", "f.id", "f.did"), "firsts")
     slots = max(8, -(-(meta.agg(F.sum("n_bytes")).collect()[0][0] or 0) // BUCKET_BYTES))
     shared = shared_tokens(send_tokens(docs.where("id is not null"), _anchor_sets, slots), slots, HOT)
     tokens = st.put(shared.groupBy("slot").applyInArrow(_collect_tokens, "did long, tokens binary, hot binary").join(firsts.select("did"), "did", "left_semi"), "tokens")
-    spark._jvm.System.gc()  # lets Spark delete the shuffle files that nothing reads any more
     texts = zipped(docs.where("id is not null"))
     runs = st.put(send_runs(texts.join(tokens, "did"), slots), "runs")
-    spark._jvm.System.gc()
-    ranges = find_repeats(runs.where("kind = 0").drop("kind"), slots).unionByName(runs.where("kind = 1").select("slot", "dids", "starts", F.col("lengths").alias("ends")))
+    ranges = find_repeats(runs.where("kind = 0").drop("kind"), slots).unionByName(runs.where("kind = 1").select("slot", "dids", "starts", "ends"))
     cuts = st.put(ranges.groupBy("slot").applyInArrow(_collect_ranges, "did long, cuts binary"), "cuts")
     st.drop("runs", "tokens")
 
