@@ -6,6 +6,9 @@ own, with a sidecar index of (record, offset, length); ``read_records`` then inf
 members by the index. Of pages with equal payloads of at least ``least`` bytes, the one with the
 smallest page_id is a response and the others are revisits that refer to it.
 
+Only digests are grouped. Those that repeat are staged, so that Spark sends them to the pages where
+they are few; very common ones always go that way, so that no page's payload gathers in one task.
+
 Archives hold about ``archive_bytes`` of payload, or one record. They are kept as binary rows of
 staged tables, which any store that Spark writes can hold; ``export_files`` writes them as
 .warc.gz files with a .cdx.json beside each, and ``read_files`` reads such files. One record at
@@ -33,6 +36,7 @@ from pyspark.sql import functions as F
 
 from talkspark.llm.common import Staged, read_table
 
+HOT = 1000
 _GZIP = 31  # zlib's window bits for gzip
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -126,8 +130,16 @@ def write_monolithic(pages: DataFrame, *, least: int = 100, archive_bytes: int =
     """(archive, data): gzip streams of many records."""
     rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
-    same = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").select("digest", "first")
-    rows = rows.join(same, "digest", "left").select("page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    same = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null")
+    same = Staged(pages.sparkSession, "digests").put(same, "repeated")
+    # payloads of more than a page in HOT: at most HOT of them, so they are sent to all; the rest meet by digest
+    total = pages.count()
+    common = same.where(F.col("n") * HOT > total).select("digest", F.col("first").alias("common"))
+    rows = rows.join(F.broadcast(common), "digest", "left")
+    key = F.when(F.col("common").isNull(), F.col("digest")).otherwise(F.concat_ws(":", "digest", F.xxhash64("page_id", "url").cast("string")))
+    rows = rows.withColumn("key", key).join(same.where(F.col("n") * HOT <= total).select(F.col("digest").alias("key"), "first"), "key", "left")
+    first = F.coalesce("common", "first")
+    rows = rows.select("page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(first), first).alias("refers_to"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n, size, stream, out = TaskContext.get().partitionId(), 0, 0, None, bytearray()
