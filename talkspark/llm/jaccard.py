@@ -419,3 +419,16 @@ def brute_force(docs: list[tuple], k: int = 4, percent: int = 85) -> list[tuple]
         r = root(i)
         low[r] = d if low.get(r) is None else low[r] if d is None else min(low[r], d)
     return [(d, len(sets[i]), low[root(i)]) for i, (d, _) in enumerate(docs)]
+
+
+#: DuckDB SQL for op2_jaccard: shingles joined by their text, links followed to the end. For tables of some thousand documents.
+ORACLE = r"""
+with recursive d as (select row_number() over () r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
+s as (select distinct r, array_to_string(w[i:i + n - 1], ' ') g from (select r, w, least(4, len(w)) n, unnest(range(1, len(w) - least(4, len(w)) + 2)) i from d where len(w) > 0)),
+c as (select r, count(*) n from s group by r),
+p as (select a.r x, b.r y, count(*) k from s a join s b on a.g = b.g and a.r < b.r group by all),
+l as (select x, y from p join c cx on cx.r = x join c cy on cy.r = y where 100 * k >= 85 * (cx.n + cy.n - k)),
+e as (select x, y from l union all select y, x from l),
+reach as (select r, r t from c union select reach.r, e.y from reach join e on e.x = reach.t),
+m as (select reach.r, min(d.doc_id) low from reach join d on d.r = reach.t group by reach.r)
+select doc_id, coalesce(n, 0)::bigint n_shingles, case when n is null then doc_id else low end component_id from d left join c using (r) left join m using (r)"""

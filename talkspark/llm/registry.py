@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secrets": secrets.oracle(), "op5_pii": pii.oracle(), "op7_decontaminate": decontaminate.ORACLE, "op9_topk": topk.ORACLE, "op10_warc": warc.ORACLE}
+    return {"op1_secrets": secrets.oracle(), "op2_jaccard": jaccard.ORACLE, "op4_suffix_dedup": suffixes.ORACLE, "op5_pii": pii.oracle(), "op7_decontaminate": decontaminate.ORACLE, "op9_topk": topk.ORACLE, "op10_warc": warc.ORACLE}

@@ -471,3 +471,17 @@ def brute_force(docs: list[tuple], width: int = WIDTH) -> list[tuple]:
         spans = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
         out.append((d, len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
     return out
+
+
+#: DuckDB SQL for op4_suffix_dedup: every 50-byte string, in hex. For tables of some megabytes.
+ORACLE = """
+with d as (select row_number() over () r, doc_id, hex(encode(coalesce(text, ''))) h from documents),
+q as (select r, doc_id, k, n, substr(h, 1024 * k + 1, 1122) c from (select r, doc_id, h, length(h) // 2 - 49 n, unnest(range(0, (length(h) // 2 - 49 + 511) // 512)) k from d where length(h) >= 100 and doc_id is not null)),
+p as (select r, doc_id, 512 * k + j i, substr(c, 2 * j + 1, 100) g from (select r, doc_id, k, c, unnest(range(0, least(512, n - 512 * k))) j from q)),
+f as (select g, min(doc_id) low from p group by g),
+x as (select r, i from p join f using (g) where doc_id > low),
+o as (select r, i, sum(fresh) over (partition by r order by i) k from (select r, i, (i > lag(i, 1, -1000) over (partition by r order by i) + 50)::int fresh from x)),
+t as (select r, k, min(i) a, max(i) + 50 b from o group by r, k),
+u as (select r, a, b, lag(b, 1, 0) over (partition by r order by a) z from t),
+g as (select r, sum(b - a) gone, count(*) n, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' order by a) || substr(any_value(h), 2 * max(b) + 1) kept from u join d using (r) group by r)
+select doc_id, (length(h) // 2)::bigint n_bytes, coalesce(gone, 0)::bigint n_removed, coalesce(n, 0)::bigint n_spans, sha256(unhex(coalesce(kept, h))) kept_sha256 from d left join g using (r)"""
