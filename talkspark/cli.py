@@ -10,13 +10,14 @@ import argparse
 import importlib
 import sys
 import urllib.request
+import uuid
 from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkspark.operators import evaluate, formats, pairs, split, stats, turns
+from talkspark.operators import clients, evaluate, formats, pairs, split, stats, turns
 from talkspark.sources import archives, files
 
 STAGES = ("parse", "clean", "monologue", "pairs", "stats")
@@ -54,10 +55,20 @@ def run_parse(spark: SparkSession, a: argparse.Namespace) -> int:
     else:
         rows = corpus.parse(found)
     rows = rows.where(F.col("stem").isin(*a.stems)) if a.stems else rows
-    if rows.isEmpty():
+    _write(rows, f"{a.data_dir}/parsed")
+    written = _table(spark, a, "parsed")
+    if written.isEmpty():
         print("no utterances found", file=sys.stderr)
         return 1
-    return _write(rows, f"{a.data_dir}/parsed")
+    # stems that were asked for and aren't there, and those with files that can't be read: the others are written
+    missing = [(s, "no input") for s in sorted(set(a.stems) - {r[0] for r in written.select("stem").distinct().collect()})] if a.stems else []
+    failed = [(r["stem"], f"{r['agent']}: {r['error']}") for r in files.nxt_failures(found).collect()] if a.corpus == "ami" else []
+    broken = {s for s, _ in failed}
+    a.failed = failed + [x for x in missing if x[0] not in broken]
+    spark.createDataFrame(a.failed, "stem string, error string").withColumn("source", F.lit(corpus.source)).coalesce(1).write.mode("overwrite").json(f"{a.data_dir}/failed/{corpus.source}")
+    for stem, error in a.failed:
+        print(f"{stem} failed: {error}", file=sys.stderr)
+    return 0
 
 
 def run_clean(spark: SparkSession, a: argparse.Namespace) -> int:
@@ -76,30 +87,43 @@ def run_sample(spark: SparkSession, a: argparse.Namespace) -> int:
     return _write(split.sample_balanced(rows, a.target, a.seed).drop("pos"), f"{a.data_dir}/{a.output_subdir}")
 
 
+def _cache(spark: SparkSession, path: str) -> DataFrame:
+    """The cache's rows; only a folder that isn't there is an empty cache."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], pairs.CACHE_SCHEMA)
+    return spark.read.schema(pairs.CACHE_SCHEMA).parquet(path)
+
+
+def _storing(spark: SparkSession, path: str, use: bool) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(the cache, a store that adds answers to it before they are used): no call is made twice, whatever fails later."""
+    cache = _cache(spark, path) if use else spark.createDataFrame([], pairs.CACHE_SCHEMA)
+
+    def store(answers: DataFrame) -> DataFrame:
+        new = f"{path}-asked/{uuid.uuid4().hex}"
+        answers.write.parquet(new)
+        kept = spark.read.schema(answers.schema).parquet(new)
+        kept.where("response is not null").select("key", "response", "call").write.mode("append").parquet(path)
+        return kept
+
+    return cache, store
+
+
 def run_pairs(spark: SparkSession, a: argparse.Namespace) -> int:
-    """The answers are stored before they are used: no call is made twice."""
+    """Pairs, and with --repunct their spoken side re-punctuated; both have a cache of their own."""
     rows = _table(spark, a, a.monologues_subdir)
     rows = turns.first_per_stem(rows, a.limit) if a.limit else rows
-    path = f"{a.data_dir}/cache/pairs"
-
-    def store(answers: DataFrame) -> DataFrame:
-        answers.write.mode("overwrite").parquet(f"{path}-new")
-        return spark.read.parquet(f"{path}-new")
-
-    try:
-        cache = spark.read.parquet(path) if not a.no_cache else None
-    except Exception:  # there is no cache yet
-        cache = None
-    cache = cache if cache is not None else spark.createDataFrame([], pairs.CACHE_SCHEMA)
-    made, new = pairs.to_pairs(rows.withColumn("_stem", F.col("stem")), cache, pairs.patient(_callable(a.client)), model=a.model, alias=a.model_alias, version=a.prompt_version, style=a.style, store=store)
-    made = made.withColumn("stem", F.substring_index("monologue_id", "#", 1))
+    cache, store = _storing(spark, f"{a.data_dir}/cache/pairs", not a.no_cache)
+    made, _ = pairs.to_pairs(rows.withColumn("_stem", F.col("stem")), cache, pairs.patient(_client(a.client, a.model)), model=a.model, alias=a.model_alias, version=a.prompt_version, style=a.style, store=store)
     if a.repunct:
-        plain = made.withColumn("answer", F.lit(None).cast("string"))
-        asked, _ = pairs.with_responses(plain, "spoken_text", spark.createDataFrame([], pairs.CACHE_SCHEMA), pairs.patient(_callable(a.repunct)), "Add commas and question marks; keep every word.", a.model, a.prompt_version)
-        made = pairs.repunctuate(asked.withColumn("answer", F.col("response"))).select(*made.columns)
-    _write(made, f"{a.data_dir}/pairs")
-    new.write.mode("append").parquet(path)
-    return 0
+        cache, store = _storing(spark, f"{a.data_dir}/cache/repunct", not a.no_cache)
+        made, _ = pairs.repunctuate_pairs(made, cache, pairs.patient(_client(a.repunct, a.model)), model=a.model, alias=a.model_alias, store=store)
+    return _write(made.withColumn("stem", F.substring_index("monologue_id", "#", 1)), f"{a.data_dir}/pairs")
+
+
+def _client(name: str, model: str) -> Callable:
+    """A callable by its place (module:name), or ``openai``: an endpoint that the environment names."""
+    return clients.ChatClient(model) if name == "openai" else _callable(name)
 
 
 def run_stats(spark: SparkSession, a: argparse.Namespace) -> int:
@@ -116,16 +140,19 @@ def run_aggregate(spark: SparkSession, a: argparse.Namespace) -> int:
 
 def run_split(spark: SparkSession, a: argparse.Namespace) -> int:
     rows = _table(spark, a, "pairs").withColumn("pos", F.struct("stem", "pair_id"))
-    done = split.split_by_speaker(rows, (a.train_ratio, a.validation_ratio, a.test_ratio), a.seed).drop("pos")
+    ratios = (a.train_ratio, a.validation_ratio, a.test_ratio)
+    done = split.split_by_speaker(rows, ratios, a.seed).drop("pos")
     done.write.mode("overwrite").partitionBy("split").json(a.output)
-    files.write_summary(split.split_manifest(spark.read.json(a.output)), f"{a.output}/_MANIFEST")
+    files.write_summary(split.split_manifest(spark.read.json(a.output), ratios, a.seed), f"{a.output}/_MANIFEST")
     return 0
 
 
 def run_format(spark: SparkSession, a: argparse.Namespace) -> int:
-    rows = spark.read.schema(files.PAIR_SCHEMA + ", split string").json(a.input)
-    done = formats.format_pairs(rows, formats.model_format(a.model))
-    done.withColumn("split", F.lit("all")).write.mode("overwrite").json(a.output) if "split" not in rows.columns else done.write.mode("overwrite").json(a.output)
+    """A folder of rows for each split, as it is in the input, and a manifest."""
+    rows = spark.read.schema(files.PAIR_SCHEMA + ", split string").json(a.input).withColumn("split", F.coalesce("split", F.lit("all")))
+    formats.format_pairs(rows, formats.model_format(a.model)).write.mode("overwrite").partitionBy("split").json(a.output)
+    written = spark.read.schema("style string, split string").json(a.output)
+    files.write_summary(formats.format_manifest(written, a.model, a.input), f"{a.output}/_MANIFEST")
     return 0
 
 
@@ -169,11 +196,14 @@ def run_train(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def run_all(spark: SparkSession, a: argparse.Namespace) -> int:
+    """All stems go through the stages together; stems that fail are left out and told, and the others are finished."""
     for stage in STAGES[: STAGES.index(a.through) + 1]:
         if code := COMMANDS[stage](spark, a):
             print(f"{stage} failed", file=sys.stderr)
             return code
-    return 0
+    if a.failed:
+        print(f"{len({s for s, _ in a.failed})} stems failed", file=sys.stderr)
+    return 1 if a.failed else 0
 
 
 COMMANDS: dict[str, Callable[[SparkSession, argparse.Namespace], int]] = {
@@ -201,6 +231,7 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(argv)
+    a.failed = []
     if a.corpus is None and a.command not in ("format", "train", "generate", "evaluate", "plot", "spokenness-train"):
         print("name a corpus", file=sys.stderr)
         return 2

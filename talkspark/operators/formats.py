@@ -58,14 +58,22 @@ def extract_formal(wrapped: Column) -> Column:
 
 
 def format_pairs(pairs: DataFrame, kind: str) -> DataFrame:
-    """Chat rows (messages) or seq2seq rows (input, target). A style that isn't known is an error, raised when the row is read."""
+    """Chat rows (messages) or seq2seq rows (input, target), with ``split`` where the pairs have it. A style that isn't known is an error, raised when the row is read."""
     known = F.create_map(*[x for k, (t, i) in STYLES.items() for x in (F.lit(k), F.struct(F.lit(t).alias("token"), F.lit(i).alias("instruction")))])[F.col("style")]
     rows = pairs.withColumn("_s", F.when(known.isNull(), F.raise_error(F.concat(F.lit("no style "), F.coalesce("style", F.lit("null"))))).otherwise(known))
     wrapped = build_input(F.col("formal_text"), F.col("_s.token"), F.col("_s.instruction"))
-    meta = ["pair_id", "source", "style", "speaker", "monologue_id", F.col("_s.token").alias("style_token"), F.col("metadata").alias("source_metadata")]
+    meta = ["pair_id", "source", "style", "speaker", "monologue_id", F.col("_s.token").alias("style_token"), F.col("metadata").alias("source_metadata"), *(["split"] if "split" in pairs.columns else [])]
     if kind == "chat":
         say = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
         return rows.select(F.array(say("user", wrapped), say("assistant", F.col("spoken_text"))).alias("messages"), *meta)
     if kind == "seq2seq":
         return rows.select(wrapped.alias("input"), F.col("spoken_text").alias("target"), *meta)
     raise ValueError(f"no format {kind!r}")
+
+
+def format_manifest(formatted: DataFrame, model: str, source: str) -> DataFrame:
+    """One row: the stage, model and format, where the pairs came from, rows a split, the style tokens and the styles that occur."""
+    each = formatted.groupBy("split", "style").agg(F.count(F.lit(1)).alias("n"))
+    rows = each.groupBy("split").agg(F.sum("n").alias("n"), F.collect_set("style").alias("styles"))
+    tokens = F.create_map(*[F.lit(x) for k, (t, _) in sorted(STYLES.items()) for x in (k, t)])
+    return rows.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("split", "n")))).alias("counts"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("styles")))).alias("styles_present")).select(F.lit("finetune_format").alias("stage"), F.lit(model).alias("model_key"), F.lit(model_format(model)).alias("format"), F.lit(source).alias("source_splits"), "counts", tokens.alias("style_tokens"), "styles_present")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
 import random
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Speakers that the greedy plan handles on the driver; beyond it, the hash plan does.
+#: Speakers that the greedy plan handles on the driver; beyond it, the caller chooses the plan by hash.
 MOST_SPEAKERS = 1_000_000
 SPLITS = ("train", "validation", "test")
 
@@ -25,34 +26,46 @@ def speaker_sizes(rows: DataFrame, order: str = "pos") -> DataFrame:
 
 
 def plan_splits(sizes: list[tuple[str, int]], ratios: tuple[float, ...], seed: int) -> dict[str, str]:
-    """sizes: (speaker, rows) as first seen. Largest first, each to the split that is the least filled; the seed orders equals."""
-    names = [s for s, _ in sizes]
-    random.Random(seed).shuffle(names)
-    of, total = dict(sizes), sum(n for _, n in sizes)
-    filled = dict.fromkeys(SPLITS, 0)
-    goal = {k: total * r for k, r in zip(SPLITS, ratios, strict=True)}
-    plan = {}
-    for name in sorted(names, key=of.__getitem__, reverse=True):
-        plan[name] = min(SPLITS, key=lambda k: filled[k] / goal[k] if goal[k] else 1.0)
-        filled[plan[name]] += of[name]
+    """sizes: (speaker, rows) as first seen. The largest speaker goes first, each to the split that has the least of its share; the seed orders equals."""
+    rows = dict(sizes)
+    order = [speaker for speaker, _ in sizes]
+    random.Random(seed).shuffle(order)
+    order.sort(key=lambda speaker: -rows[speaker])
+    # (how full, place, rows) of each split; of equally full ones the first is next
+    shares = [(0.0, i, 0) for i in range(len(SPLITS))]
+    plan, total = {}, sum(rows.values())
+    for speaker in order:
+        _, i, held = shares[0]
+        plan[speaker] = SPLITS[i]
+        heapq.heapreplace(shares, ((held + rows[speaker]) / (total * ratios[i]), i, held + rows[speaker]))
     return plan
 
 
 def split_by_speaker(rows: DataFrame, ratios: tuple[float, float, float] = (0.8, 0.1, 0.1), seed: int = 42, order: str = "pos") -> DataFrame:
-    """The rows with ``split``. Speaker sizes, not rows, are planned on the driver, up to MOST_SPEAKERS; more are split by a hash."""
+    """The rows with ``split``. Speaker sizes, not rows, are planned on the driver, up to MOST_SPEAKERS."""
     _check_ratios(ratios)
-    sizes = speaker_sizes(rows, order)
-    few = sizes.orderBy("seen", "speaker").limit(MOST_SPEAKERS + 1).collect()
+    few = speaker_sizes(rows, order).orderBy("seen", "speaker").limit(MOST_SPEAKERS + 1).collect()
     if len(few) > MOST_SPEAKERS:
-        u = F.pmod(F.xxhash64(F.lit(seed), "speaker"), F.lit(1 << 30)) / (1 << 30)
-        return rows.withColumn("split", F.when(u < ratios[0], SPLITS[0]).when(u < ratios[0] + ratios[1], SPLITS[1]).otherwise(SPLITS[2]))
+        raise ValueError(f"more than {MOST_SPEAKERS} speakers: split by split_by_hash")
     plan = plan_splits([(r["speaker"], r["n"]) for r in few], ratios, seed)
     return rows.join(rows.sparkSession.createDataFrame(list(plan.items()), "speaker string, split string"), "speaker")
 
 
-def split_manifest(split: DataFrame) -> DataFrame:
+def split_by_hash(rows: DataFrame, ratios: tuple[float, float, float] = (0.8, 0.1, 0.1), seed: int = 42) -> DataFrame:
+    """The rows with ``split`` by a hash of the speaker: for any number of speakers, without a plan and a shuffle; shares are met on average."""
+    _check_ratios(ratios)
+    u = F.pmod(F.xxhash64(F.lit(seed), "speaker"), F.lit(1 << 30)) / (1 << 30)
+    return rows.withColumn("split", F.when(u < ratios[0], SPLITS[0]).when(u < ratios[0] + ratios[1], SPLITS[1]).otherwise(SPLITS[2]))
+
+
+def split_manifest(split: DataFrame, ratios: tuple[float, float, float] | None = None, seed: int | None = None) -> DataFrame:
+    """A row a split: n_rows, n_speakers, speakers and, where told, its ratio and the seed."""
     each = split.groupBy("split", "speaker").agg(F.count(F.lit(1)).alias("n"))
-    return each.groupBy("split").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_speakers"), F.array_sort(F.collect_list("speaker")).alias("speakers"))
+    out = each.groupBy("split").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_speakers"), F.array_sort(F.collect_list("speaker")).alias("speakers"))
+    if ratios is None:
+        return out
+    ratio = F.create_map(*[F.lit(x) for pair in zip(SPLITS, ratios, strict=True) for x in pair])[F.col("split")]
+    return out.withColumns({"ratio": ratio, "seed": F.lit(seed), "strategy": F.lit("speaker_aware_greedy")})
 
 
 def majority_type(rows: DataFrame) -> DataFrame:

@@ -214,7 +214,7 @@ def pair_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {PAIRS} select stem, seq, round((case when len(s) > 0 then len(f) / len(s) else 0 end)::double, 9) ratio from (select stem, seq, {words_sql('spoken_text')} s, {words_sql('formal_text')} f from pv)")
 def pair_reduction_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.pairs(spark, sf_dir).select("stem", F.col("seq").cast("long").alias("seq"), _r(stats.pair_measures()["reduction_ratio"]).alias("ratio"))
+    return views.pairs(spark, sf_dir).select("stem", F.col("seq").cast("long").alias("seq"), _r(counts.rate(F.size(counts.tokens(F.col("formal_text"))), F.size(counts.tokens(F.col("spoken_text"))))).alias("ratio"))
 
 
 @query(f"""with {PAIRS}, f as (select style, {_SURFACE} from (select style, spoken_text txt, {words_sql("spoken_text")} w from pv)),
@@ -272,7 +272,7 @@ def interleave_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.parse_switchboard(docs).select("stem", "pos", "utterance_id", "speaker", "text", "t_start_ms")
 
 
-@query(f"""with {SENT} select conv_id::varchar stem, conv_id || '#s' || (turn * 1000 + i) utterance_id, case when turn % 2 = 0 then 'name' || conv_id else conv_id || '.B' end speaker, {squeeze_sql("t")} || case when i % 2 = 0 then '. [vocalsound:laugh]' else '' end as text, ((turn * 3 + i) * 1000)::bigint t_start_ms from sent""")
+@query(f"""with {SENT} select conv_id::varchar stem, row_number() over (partition by conv_id order by turn * 3 + i, turn % 2, turn, i)::bigint pos, conv_id || '#s' || (turn * 1000 + i) utterance_id, case when turn % 2 = 0 then 'name' || conv_id else conv_id || '.B' end speaker, {squeeze_sql("t")} || case when i % 2 = 0 then '. [vocalsound:laugh]' else '' end as text, ((turn * 3 + i) * 1000)::bigint t_start_ms from sent""")
 def nxt_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = views.sentences(spark, sf_dir).withColumn("agent", F.when(F.col("turn") % 2 == 0, "A").otherwise("B"))
     n = lambda x: (x["turn"] * 1000 + x["i"]).cast("string")
@@ -285,7 +285,7 @@ def nxt_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.concat_ws(".", F.col("conv_id").cast("string"), "agent")
     docs = rows.select(F.inline(F.array(F.struct(F.concat(base, F.lit(".words.xml")).alias("file"), wrap(word).alias("content")), F.struct(F.concat(base, F.lit(".segments.xml")).alias("file"), wrap(segment).alias("content")))))
     meetings = rows.where("agent = 'A'").select(F.concat(F.lit('<meetings><meeting type="scenario" observation="'), F.col("conv_id").cast("string"), F.lit('"><speaker nxt_agent="A" global_name="name'), F.col("conv_id").cast("string"), F.lit('" role="PM"/></meeting></meetings>')).alias("content"))
-    return files.parse_nxt(docs, files.nxt_speakers(meetings)).select("stem", "utterance_id", "speaker", "text", "t_start_ms")
+    return files.parse_nxt(docs, files.nxt_speakers(meetings)).select("stem", "pos", "utterance_id", "speaker", "text", "t_start_ms")
 
 
 def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -303,7 +303,18 @@ def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dist(["side"], evaluate.evaluate(_predictions(spark, sf_dir)))
 
 
-@query()
+def _p_sql(x: str) -> str:
+    """P(spoken) by the query's weights."""
+    w = words_sql(x)
+    sentences = f"greatest(len(list_filter(regexp_split_to_array(regexp_replace({x}, '<pause:(?:short|long)>', ' ', 'g'), '[.!?]+'), lambda s: trim(s) <> '')), 1)"
+    contractions = rf"len(regexp_extract_all({x}, '(?i)[\p{{L}}\p{{N}}_]+''(?:t|s|re|ve|ll|m|d)\b|\b(?:gonna|wanna|gotta|kinda|gimme|lemme|dunno)\b'))"
+    return f"1 / (1 + exp(-(0.2::double + 8.0::double * case when len({w}) > 0 then {fillers_sql(w)} / len({w}) else 0.0::double end - 0.05::double * case when len({w}) > 0 then len({w}) / {sentences} else 0.0::double end + 6.0::double * {contractions} / greatest(len({w}), 1))))"
+
+
+@query(f"""with {PAIRS}, s as (select style, trim(formal_text) f, case when seq % 5 <> 0 then 'well , ' || spoken_text else '' end p, case when seq % 3 <> 0 then spoken_text else '' end r from pv),
+v as (select style, {_p_sql("f")} a, {_p_sql("p")} b, {_p_sql("r")} c from s),
+l as (select style, unnest(['input','prediction','delta','reference']) metric, unnest([a, b, b - a, c]) value from v)
+select style, metric, {_DIST} from l group by grouping sets ((style, metric), (metric))""")
 def spokenness_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = lambda rows, body, out: evaluate.logistic_score(rows, body, {"filler_rate": 8.0, "tokens_per_sentence": -0.05, "contraction_rate": 6.0}, 0.2, out)
     return _dist(["style"], evaluate.spoken_shift(_predictions(spark, sf_dir), score))
@@ -321,9 +332,14 @@ def split_by_speaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split_by_speaker(views.pairs(spark, sf_dir)).select("pair_id", "speaker", "split")
 
 
-@query()
+_PART = "case when {n} < 13 then 'train' when {n} < 15 then 'validation' else 'test' end"
+
+
+@query(f"""with {PAIRS}, s as (select speaker, {_PART.format(n="split_part(speaker, '-', 2)::int")} split from pv)
+select split, count(*)::bigint n_rows, count(distinct speaker)::bigint n_speakers, array_to_string(list_sort(list(distinct speaker)), ',') speakers, case split when 'train' then 0.8::double else 0.1::double end ratio, 42 seed, 'speaker_aware_greedy' strategy from s group by split""")
 def split_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split.split_manifest(split.split_by_speaker(views.pairs(spark, sf_dir)))
+    rows = views.pairs(spark, sf_dir).withColumn("split", F.expr(_PART.format(n="cast(substring_index(speaker, '-', -1) as int)")))
+    return split.split_manifest(rows, (0.8, 0.1, 0.1), 42).withColumn("speakers", F.array_join("speakers", ","))
 
 
 @query()
@@ -331,11 +347,37 @@ def sample_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.sample_balanced(views.pairs(spark, sf_dir), target=200).select("monologue_id", "speaker", "meeting_type")
 
 
-@query(f"""with {PAIRS} select stem, seq, case when seq % 3 = 0 then 'word_mismatch' else 'ok' end reason from pv""")
+_PIECES = r"regexp_extract_all(%s, '<pause:[\p{L}\p{N}_]+>|[A-Za-z0-9''-]+')"
+_PAUSES = "list_transform(list_filter(range(1, len({t}) + 1), lambda i: {t}[i][1] = '<'), lambda i: {{'n': len(list_filter({t}[1:i], lambda x: x[1] <> '<')), 'p': {t}[i]}})"
+
+
+@query(f"with {UTT} select conv_id, pos, array_to_string(list_transform({_PAUSES.format(t='t')}, lambda x: x.n || x.p), ',') positions from (select *, {_PIECES % 'txt'} t from utt)")
+def pause_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.transform(pairing.pause_positions(_t()), lambda x: F.concat(x["n"].cast("string"), x["pause"]))
+    return _utt(spark, sf_dir, positions=F.array_join(at, ","))
+
+
+_BARE = squeeze_sql(r"regexp_replace(spoken_text, '<pause:[\p{L}\p{N}_]+>', ' ', 'g')")
+_AT = "array_to_string(list_transform(list_filter(ps, lambda x: x.n = {n}), lambda x: x.p), ' ')"
+_RESTORED = f"array_to_string(list_transform(range(1, len(w) + 2), lambda i: coalesce(g[i], '') || case when i > len(w) then '' when {_AT.format(n='i - 1')} <> '' then {_AT.format(n='i - 1')} || ' ' || w[i] else w[i] end), '') || case when {_AT.format(n='len(w)')} <> '' then ' ' || {_AT.format(n='len(w)')} else '' end"
+
+
+@query(f"""with {PAIRS}, a as (select stem, seq, spoken_text, regexp_replace({_BARE}, ' ,', ',', 'g') a, {_PIECES % 'spoken_text'} t from pv),
+q as (select *, {_PAUSES.format(t="t")} ps, regexp_extract_all(a, '[A-Za-z0-9''-]+') w, regexp_split_to_array(a, '[A-Za-z0-9''-]+') g from a), z as (select *, {_RESTORED} z from q)
+select stem, seq, case when seq % 3 = 0 then 'word_mismatch' else 'ok' end reason, case when seq % 3 = 0 then spoken_text else {punct_sql("z")} end as text from z""")
 def repunct(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = text.strip_pauses(F.col("spoken_text"))
     p = views.pairs(spark, sf_dir).withColumn("answer", F.when(F.col("seq") % 3 == 0, F.concat(F.lit("other "), plain)).otherwise(F.regexp_replace(plain, " ,", ",")))
-    return pairing.repunctuate(p).select("stem", F.col("seq").cast("long").alias("seq"), "reason")
+    return pairing.repunctuate(p).select("stem", F.col("seq").cast("long").alias("seq"), "reason", F.col("spoken_text").alias("text"))
+
+
+@query(f"""with {MONO} select conv_id || '#mono_' || printf('%04d', seq) || '#casual#v2-zero-shot' pair_id, {punct_sql("txt")} spoken_text, '"' || {squeeze_sql(_P % "")} || '"' formal_text,
+'{{"finish_reason": "stop","model":"m","model_alias":"m","prompt_version":"v2-zero-shot","from_cache":false}}' metadata from mo""")
+def to_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = turns.build_monologues(views.utterances(spark, sf_dir))
+    none = spark.createDataFrame([], pairing.CACHE_SCHEMA)
+    made, _ = pairing.to_pairs(m, none, lambda system, user: (f"“{user}”", {"finish_reason": "stop"}), model="m")
+    return made.select("pair_id", "spoken_text", "formal_text", "metadata")
 
 
 @query(f"with {PAIRS} select monologue_id, [{{'role': 'user', 'content': {_WRAP}}}, {{'role': 'assistant', 'content': spoken_text}}]::json::varchar messages from pv")
@@ -348,3 +390,52 @@ def log_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("k", F.col("event_id") % 3).withColumn("s", F.col("event_id") % 7)
     h = e.select(F.col("event_id").alias("pos"), F.when(F.col("s") != 6, F.col("s")).alias("step"), F.when(F.col("k") < 2, F.col("value") * F.when(F.col("k") == 0, 2).otherwise(1)).alias("loss"), F.when(F.col("k") == 0, F.col("value")).alias("eval_loss"))
     return evaluate.loss_series(h).select("series", "step", _r(F.col("loss")).alias("loss"), "pos")
+
+
+_TELEPHONE = MONO.replace("'yeah yeah yeah yeah'", "'um hum'").replace(views._LEXICON, views._LEXICON + ",'um','hum','uh','huh'")
+
+
+@query(f"with {_TELEPHONE} select conv_id::varchar stem, seq::bigint seq, speaker, txt as text from mo")
+def turn_merge_telephone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = views.utterances(spark, sf_dir).withColumn("text", F.when(F.col("text") == "yeah yeah yeah yeah", "um hum").otherwise(F.col("text")))
+    m = turns.build_monologues(u, lexicon=files.CORPORA["switchboard"].backchannels)
+    return m.select("stem", F.col("seq").cast("long").alias("seq"), "speaker", "text")
+
+
+@query("select conv_id || '.cha' file, 'Turn' as name, string_agg(role || ' ' || turn, '|' order by turn) as vals from conversations group by conv_id union all select distinct conv_id || '.cha', unnest(['Begin', 'End']), '' from conversations")
+def chat_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = lambda x: F.concat(F.lit("@Turn:\t"), x["role"], F.lit("\n\t"), x["turn"].cast("string"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), line), "\n*X:\tno header\n")
+    docs = spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy("conv_id").agg(body.alias("body"))
+    docs = docs.select(F.concat(F.col("conv_id").cast("string"), F.lit(".cha")).alias("file"), F.concat(F.lit("@Begin\n"), "body", F.lit("\n@End")).alias("content"))
+    return files.chat_headers(docs).select("file", F.explode("headers").alias("name", "vals")).withColumn("vals", F.array_join("vals", "|"))
+
+
+@query("select distinct conv_id || '.' || (conv_id % 3) stem from conversations where conv_id % 2 = 0")
+def stem_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("conv_id")
+    name = F.concat(c.cast("string"), F.lit("."), (c % 3).cast("string"), F.when(c % 2 == 0, ".cha").otherwise(".chat"))
+    return files.stems(spark.read.parquet(f"{sf_dir}/conversations.parquet").select(name.alias("file")), ".cha")
+
+
+@query("select conv_id::varchar stem, turn::int n_tokens, case when turn % 2 = 0 then text end as text from conversations where turn % 3 <> 0")
+def jsonl_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.when(F.col("turn") % 2 == 0, F.col("text")).alias("text")
+    line = F.to_json(F.struct(F.col("conv_id").cast("string").alias("stem"), F.col("turn").alias("n_tokens"), t, F.lit(1).alias("more")), {"ignoreNullFields": "false"})
+    lines = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.when(F.col("turn") % 3 == 0, F.lit(" \t")).otherwise(line).alias("value"))
+    return files.parse_jsonl(lines, "stem string, n_tokens int, text string", ("stem",))
+
+
+def _values(rows: list[tuple], names: str) -> str:
+    quoted = lambda x: "null" if x is None else "'" + x.replace("'", "''") + "'"
+    return f"select * from (values {', '.join('(' + ', '.join(map(quoted, r)) + ')' for r in rows)}) t({names})"
+
+
+@query(_values([(k, *v) for k, v in formats.STYLES.items()], "style, style_token, instruction"))
+def style_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return formats.style_table(spark)
+
+
+@query(_values([(k, *v) for k, v in formats.MODELS.items()], "model, format, hub_id"))
+def model_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return formats.model_table(spark)

@@ -133,9 +133,17 @@ def nxt_segments(words_xml: str, segments_xml: str) -> list[dict]:
 
 
 def _segments(words: str, segments: str) -> Column:
-    @F.pandas_udf("array<struct<segment_id:string,text:string,start:string,end:string>>")
-    def parse(w: pd.Series, s: pd.Series) -> pd.Series:
-        return pd.Series([nxt_segments(a, b) for a, b in zip(w, s, strict=True)])
+    """struct<segments, error>: XML that isn't well formed is told, not raised."""
+
+    def tried(w: str, s: str) -> dict:
+        try:
+            return {"segments": nxt_segments(w, s), "error": None}
+        except ET.ParseError as e:
+            return {"segments": [], "error": str(e)}
+
+    @F.pandas_udf("struct<segments:array<struct<segment_id:string,text:string,start:string,end:string>>,error:string>")
+    def parse(w: pd.Series, s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([tried(a, b) for a, b in zip(w, s, strict=True)], columns=["segments", "error"])
 
     return parse(words, segments)
 
@@ -151,13 +159,24 @@ def nxt_speakers(meetings: DataFrame) -> DataFrame:
     return meetings.select("content").mapInPandas(work, "stem string, agent string, global_name string, role string, meeting_type string")
 
 
-def parse_nxt(files: DataFrame, speakers: DataFrame, source: str = "AMI") -> DataFrame:
-    """Files <stem>.<agent>.words.xml and .segments.xml; the channels by start time, then agent."""
+def _nxt_channels(files: DataFrame) -> DataFrame:
+    """(stem, agent, found): the parsed channels of files <stem>.<agent>.words.xml and .segments.xml."""
     name = r"^([^.]*)\.([A-D])\.(words|segments)\.xml$"
     part = lambda g: F.regexp_extract("file", name, g)
     rows = files.where(F.col("file").rlike(name)).groupBy(part(1).alias("stem"), part(2).alias("agent"))
     rows = rows.agg(F.max(F.when(part(3) == "words", F.col("content"))).alias("words"), F.max(F.when(part(3) == "segments", F.col("content"))).alias("segments")).where("words is not null and segments is not null")
-    rows = rows.select("stem", "agent", F.posexplode(_segments("words", "segments")).alias("i", "s")).select("stem", "agent", "i", "s.*")
+    return rows.select("stem", "agent", _segments("words", "segments").alias("found"))
+
+
+def nxt_failures(files: DataFrame) -> DataFrame:
+    """(stem, agent, error) of the channels that can't be parsed; their stems have no utterances."""
+    return _nxt_channels(files).select("stem", "agent", "found.error").where("error is not null")
+
+
+def parse_nxt(files: DataFrame, speakers: DataFrame, source: str = "AMI") -> DataFrame:
+    """Files <stem>.<agent>.words.xml and .segments.xml; the channels by start time, then agent. A stem with a broken file is left out whole."""
+    rows = _nxt_channels(files).withColumn("failed", F.count("found.error").over(W.partitionBy("stem"))).where("failed = 0")
+    rows = rows.select("stem", "agent", F.posexplode("found.segments").alias("i", "s")).select("stem", "agent", "i", "s.*")
     rows = rows.join(speakers.dropDuplicates(["stem", "agent"]), ["stem", "agent"], "left")
     rows = rows.withColumn("t_start_ms", _milliseconds(F.col("start"))).withColumn("t_end_ms", _milliseconds(F.col("end")))
     pos = F.row_number().over(W.partitionBy("stem").orderBy(F.coalesce("t_start_ms", F.lit(0)), "agent", "i")).cast("long")
@@ -192,8 +211,12 @@ MONOLOGUE_SCHEMA = "source string, monologue_id string, speaker string, text str
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, required: tuple[str, ...] = ()) -> DataFrame:
-    """Blank lines are skipped and other keys ignored; lines that aren't objects, and rows without a required key, are errors."""
-    lines = spark.read.text(path).where(r"value rlike '\\S'")
+    return parse_jsonl(spark.read.text(path), schema, required)
+
+
+def parse_jsonl(lines: DataFrame, schema: str, required: tuple[str, ...] = ()) -> DataFrame:
+    """lines: value. Blank lines are skipped and other keys ignored; lines that aren't objects, and rows without a required key, are errors."""
+    lines = lines.where(r"value rlike '\\S'")
     lines = lines.withColumn("value", F.when(F.col("value").rlike(r"^\s*\{"), F.col("value")).otherwise(F.raise_error(F.concat(F.lit("not a JSON object: "), F.left("value", F.lit(80))))))
     rows = lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
     for c in required:

@@ -1,5 +1,6 @@
 """Sources, turns, splits, pairs and measures; the queries against their SQL."""
 
+import json
 import os
 import random
 
@@ -8,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from talkspark import cli
-from talkspark.operators import evaluate, formats, pairs, split, stats, turns
+from talkspark.functions import speech
+from talkspark.operators import clients, evaluate, formats, pairs, split, stats, turns
 from talkspark.plans.queries import ORACLES, QUERIES
 from talkspark.sources import archives, files
 from talkspark.streaming import process_new_files
@@ -94,6 +96,8 @@ def test_split(spark):
     assert len(got) == len(rows) and sum(map(len, by.values())) == 20 and set(by) == set(split.SPLITS)
     assert sorted(split.split_by_speaker(frame.repartition(5)).collect()) == sorted(got)
     assert sum(r["n_speakers"] for r in split.split_manifest(split.split_by_speaker(frame)).collect()) == 20
+    hashed = split.split_by_hash(frame).collect()
+    assert len(hashed) == len(rows) and all(len({r["split"] for r in hashed if r["speaker"] == s}) == 1 for s in {r["speaker"] for r in hashed})
     for bad in ((0.5, 0.5, 0.1), (1.0, 0.0, 0.0)):
         with pytest.raises(ValueError):
             split.split_by_speaker(frame, bad)
@@ -129,7 +133,10 @@ def test_pairs_and_cache(spark, tmp_path):
         return spark.read.parquet(f"{tmp_path}/answers")
 
     none = spark.createDataFrame([], pairs.CACHE_SCHEMA)
+    plain = call
+    call = lambda system, user: (plain(system, user), {"finish_reason": "stop", "tokens": 3})
     made, new = pairs.to_pairs(mono, none, call, model="m:free", alias="m", store=store)
+    assert json.loads(made.collect()[0]["metadata"]) == {"finish_reason": "stop", "tokens": 3, "model": "m:free", "model_alias": "m", "prompt_version": "v2-zero-shot", "from_cache": False}
     got = {r["monologue_id"]: r for r in made.collect()}
     assert set(got) == {"m1", "m2", "m4"} and got["m1"]["formal_text"] == '"hi there .."'
     assert got["m1"]["spoken_text"] == "hi <pause:long> there." and got["m1"]["pair_id"] == "m1#casual#v2-zero-shot"
@@ -198,7 +205,7 @@ def test_spokenness(spark):
     model, metrics = evaluate.train_spokenness(p)
     assert metrics["holdout_auc"] > 0.95 and metrics["coefficients"]["filler_rate"] > 0
     mine = evaluate.score_spokenness(p, "spoken_text", model).agg(F.avg("p_spoken")).collect()[0][0]
-    theirs = model.transform(p.withColumns(evaluate.feature_columns("spoken_text")).select(*evaluate.FEATURES))
+    theirs = model.transform(evaluate.with_features(p, "spoken_text").select(*evaluate.FEATURES))
     assert abs(mine - sum(r["probability"][1] for r in theirs.collect()) / 60) < 1e-9
     score = lambda r, body, out: evaluate.score_spokenness(r, body, model, out)
     preds = p.select("pair_id", "style", "speaker", F.col("formal_text").alias("input"), F.lit(None).cast("string").alias("reference"), F.col("spoken_text").alias("prediction"))
@@ -225,29 +232,131 @@ def test_archives(tmp_path):
         archives.download("sbcsae", "u", str(tmp_path / "s"), lambda url: buf.getvalue())
 
 
+def test_repunctuation_of_pairs(spark):
+    """The model gets words without pauses, once each, and not at all where none are left; answers and failures are told."""
+    rows = [("p1", "so <pause:short> yes ."), ("p2", "so yes ."), ("p3", "<pause:long>"), ("p4", "no good"), ("p5", "fail")]
+    frame = spark.createDataFrame([(i, "s", "casual", "A", t, "F.", "m", '{"a":1}') for i, t in rows], files.PAIR_SCHEMA)
+
+    def call(system, user):
+        assert system == pairs.REPUNCT_PROMPT and "<" not in user and user
+        if user == "fail":
+            raise RuntimeError("no")
+        return {"so yes .": "So, yes. ", "no good": "not good"}[user], {"n": 1}
+
+    none = spark.createDataFrame([], pairs.CACHE_SCHEMA)
+    made, new = pairs.repunctuate_pairs(frame, none, call, model="m")
+    got = {r["pair_id"]: (r["spoken_text"], json.loads(r["metadata"])) for r in made.collect()}
+    told = lambda applied, reason, cached=False: {"a": 1, "tier_b": {"applied": applied, "reason": reason, "from_cache": cached}}
+    assert got == {"p1": ("So, <pause:short> yes.", told(True, "ok")), "p2": ("So, yes.", told(True, "ok")), "p3": ("<pause:long>", told(False, "empty")), "p4": ("no good", told(False, "word_mismatch")), "p5": ("fail", told(False, "error:RuntimeError"))}
+    assert made.columns == frame.columns and new.count() == 2
+    again, _ = pairs.repunctuate_pairs(frame.where("pair_id <> 'p5'"), new, lambda s, u: 1 / 0, model="m")
+    assert again.where("metadata like '%\"from_cache\":true%'").count() == 3
+
+
+def test_chat_client():
+    """Against a server of our own: the request's form, metadata, refusals, answers without content."""
+    import http.server
+    import threading
+
+    seen, replies = [], []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            seen.append((self.path, self.headers["Authorization"], json.loads(self.rfile.read(int(self.headers["Content-Length"])))))
+            code, headers, body = replies.pop(0)
+            self.send_response(code)
+            for k, v in headers.items():
+                self.send_header(k, v)
+            self.end_headers()
+            self.wfile.write(json.dumps(body).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    client = clients.ChatClient("m", f"http://127.0.0.1:{server.server_port}/v1/", "k", clients.routing({"LLM_PROVIDER_SORT": "price", "LLM_PROVIDER_MAX_PROMPT": "0.5"}))
+    reply = lambda content: {"model": "m-1", "choices": [{"message": {"content": content}, "finish_reason": "stop"}], "usage": {"prompt_tokens": 4, "completion_tokens": 2, "total_tokens": 6}}
+    replies += [(200, {}, reply("hi")), (429, {"Retry-After": "3"}, {}), (200, {}, reply(None))]
+    assert client("sys", "usr") == ("hi", {"response_model": "m-1", "finish_reason": "stop", "prompt_tokens": 4, "completion_tokens": 2, "total_tokens": 6})
+    assert seen[0] == ("/v1/chat/completions", "Bearer k", {"model": "m", "messages": [{"role": "system", "content": "sys"}, {"role": "user", "content": "usr"}], "provider": {"sort": "price", "max_price": {"prompt": 0.5}}})
+    with pytest.raises(pairs.RateLimited) as refused:
+        client("sys", "usr")
+    assert refused.value.wait == "3"
+    with pytest.raises(ValueError):
+        client("sys", "usr")
+    assert clients.routing({}) == {}
+    server.shutdown()
+
+
+def toy_tagger():
+    kinds = {"dog": "NOUN", "runs": "VERB", "off": "ADP", "she": "PRON"}
+    return lambda text: [(w, kinds.get(w, "X"), "prt" if w == "off" else "", "VERB" if w == "off" else "") for w in text.split()]
+
+
+def test_speech_features(spark):
+    texts = [(s, t) for s, t in (("casual", "she runs off <pause:long> 1"), ("casual", "dog"), ("semi_formal", "the dog runs"), ("semi_formal", ""))]
+    frame = spark.createDataFrame(texts, "style string, text string")
+    more = speech.speech_features(toy_tagger)
+    got = frame.select("text", *[c.alias(k) for k, c in more(F.col("text")).items()]).collect()
+    assert [tuple(round(x, 4) for x in r[1:]) for r in got] == [(0.3333, 1.0, 0.3333), (1.0, 0.0, 0.0), (0.6667, 0.0, 0.0), (0.0, 0.0, 0.0)]
+    rows = {r["feature"]: r for r in stats.style_separation(frame, more=more).collect()}
+    assert rows["lexical_density"]["used_for_verdict"] and rows["phrasal_verb_ratio"]["casual_mean"] == 0.5
+
+
 def answer(system: str, user: str) -> str:
     return user.capitalize()
 
 
 def test_command_line(spark, tmp_path):
-    lines = "".join(f"*{'AB'[i % 2]}:\t{'so we talked about this and that for a long time ' * 4}\n" for i in range(6))
     (tmp_path / "in").mkdir()
-    for stem in ("c1", "c2"):
-        (tmp_path / "in" / f"{stem}.cha").write_text("@Begin\n" + lines + "@End\n")
-    args = ["sbcsae", "--data-dir", f"{tmp_path}/data", "--input", f"{tmp_path}/in", "--client", f"{__name__}:answer", "--through", "stats"]
+    for n in range(1, 6):
+        lines = "".join(f"*{'ABCDEFGHIJ'[2 * n - 1 - i % 2]}:\t{'so we <(.)> talked about this and that for a long time ' * 4}\n" for i in range(6)).replace("<(.)>", "(.)")
+        (tmp_path / "in" / f"c{n}.cha").write_text("@Begin\n" + lines + "@End\n")
+    args = ["sbcsae", "--data-dir", f"{tmp_path}/data", "--input", f"{tmp_path}/in", "--client", f"{__name__}:answer", "--repunct", f"{__name__}:answer", "--through", "stats"]
     assert cli.main(["run", *args], spark) == 0
-    assert spark.read.parquet(f"{tmp_path}/data/pairs").count() == 12
+    made = spark.read.parquet(f"{tmp_path}/data/pairs")
+    assert made.count() == 30 and made.where("spoken_text like 'So we <pause:short> talked%'").count() == 30
+    # both caches have their answers; nothing is asked for again
+    assert spark.read.parquet(f"{tmp_path}/data/cache/pairs").count() == spark.read.parquet(f"{tmp_path}/data/cache/repunct").count() == 1
+    assert cli.main(["pairs", *args[:-6], "--client", f"{__name__}:refuse", "--repunct", f"{__name__}:refuse"], spark) == 0
+    assert spark.read.parquet(f"{tmp_path}/data/pairs").where("metadata like '%from_cache\":true%from_cache\":true%'").count() == 30
     assert cli.main(["aggregate", *args], spark) == 0
     assert cli.main(["split", *args, "--output", f"{tmp_path}/split"], spark) == 0
+    manifest = {r["split"]: r for r in json.loads(spark.read.text(f"{tmp_path}/split/_MANIFEST").collect()[0][0])}
+    assert {k: (r["ratio"], r["seed"]) for k, r in manifest.items()} == {"train": (0.8, 42), "validation": (0.1, 42), "test": (0.1, 42)}
     assert cli.main(["format", "--model", "t5gemma2-1b", "--input", f"{tmp_path}/split", "--output", f"{tmp_path}/rows"], spark) == 0
-    assert spark.read.json(f"{tmp_path}/rows").count() == 12
+    # no pair changes its split
+    splits = {(r["pair_id"], r["split"]) for r in spark.read.json(f"{tmp_path}/split").collect()}
+    assert splits == {(r["pair_id"], r["split"]) for r in spark.read.json(f"{tmp_path}/rows").collect()} and len(splits) == 30
+    told = json.loads(spark.read.text(f"{tmp_path}/rows/_MANIFEST").collect()[0][0])[0]
+    assert told["counts"] == {k: r["n_rows"] for k, r in manifest.items()} and told["format"] == "seq2seq" and told["styles_present"] == ["casual"] and told["style_tokens"]["casual"] == "<style:casual>"
     assert cli.main(["train"], spark) == 2 and cli.main(["parse"], spark) == 2
+    # a stem that isn't there fails by itself
+    assert cli.main(["run", *args[:-2], "--stems", "c1", "nowhere"], spark) == 1
+    assert spark.read.json(f"{tmp_path}/data/failed/SBCSAE").select("stem").collect()[0][0] == "nowhere"
+    assert spark.read.parquet(f"{tmp_path}/data/monologues").count() > 0
+
+
+def refuse(system: str, user: str) -> str:
+    raise AssertionError("asked again")
+
+
+def test_broken_transcripts_fail_by_themselves(spark, tmp_path):
+    ns = 'xmlns:nite="http://nite.sourceforge.net/"'
+    (tmp_path / "in").mkdir()
+    for stem, words in (("M1", f'<r {ns}><w nite:id="a">Hi</w></r>'), ("M2", f"<r {ns}><w>")):
+        (tmp_path / "in" / f"{stem}.A.words.xml").write_text(words)
+        (tmp_path / "in" / f"{stem}.A.segments.xml").write_text(f'<r {ns}><segment nite:id="1" transcriber_start="1"><nite:child href="x#id(a)"/></segment></r>')
+    assert cli.main(["run", "ami", "--data-dir", f"{tmp_path}/data", "--input", f"{tmp_path}/in", "--through", "clean"], spark) == 1
+    assert [r["text"] for r in spark.read.parquet(f"{tmp_path}/data/cleaned").collect()] == ["Hi"]
+    assert [r["stem"] for r in spark.read.json(f"{tmp_path}/data/failed/AMI").collect()] == ["M2"]
 
 
 def test_stream_of_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.cha").write_text(CHAT)
-    for _ in range(2):  # the second run finds nothing new
+    for _ in range(2):  # the second run finds nothing new; a batch that is tried again replaces itself
         process_new_files(spark, f"{tmp_path}/in", files.parse_chat, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 2
 
