@@ -15,8 +15,10 @@ of copies are not listed one by one.
    that which no other document has, and are done.
 4. The sets that share a prefix token meet in blocks: first with the smallest of each token's
    list (a star, so that a group of near copies costs its size), then, where a list still
-   spans several components, the members of like size, in chunks: sizes are graded so that sets
-   that can link are in one grade or two neighbouring ones. In a block the sets form
+   spans several components, the members of like size: sizes are graded so that sets
+   that can link are in one grade or two neighbouring ones. These sets' tokens are dealt by
+   hash to more parts than two sets that link can differ in; so they are equal in a part, and only
+   those that are meet, however many share a token. In a block the sets form
    a prefix tree with compressed paths; each set walks the tree, nodes share partial
    overlaps, and subtrees are pruned where overlap so far plus remaining length is too small.
 5. Components of the links by star rounds over tables.
@@ -41,7 +43,7 @@ from pyspark.sql import functions as F
 
 from talkspark.llm.common import Staged, chunked, clashes, fresh, keyed, numbered, read_table, row_key
 from talkspark.llm.components import components
-from talkspark.llm.hashing import shingle_sets
+from talkspark.llm.hashing import mix, shingle_sets
 
 CAP = 64  # documents of a token from which on its exact count doesn't matter
 BUCKET_TOKENS = 2_000_000
@@ -292,6 +294,56 @@ def size_grade(n: Column, percent: int) -> Column:
     return F.floor(F.log(n) / math.log(100 / percent) + 1e-9).cast("long")
 
 
+def grade_parts(grade: int, percent: int) -> tuple[int, int]:
+    """(parts, the most of them in which two linking sets of the grade differ)."""
+    most = grade if percent == 100 else math.ceil((100 / percent) ** (grade + 1)) + 1
+    differ = 2 * most * (100 - percent) // (100 + percent)
+    return differ + 2 + differ // 6, differ  # some to spare, so that few sets have as many empty parts
+
+
+def part_keys(tokens: np.ndarray, grade: int, percent: int) -> np.ndarray:
+    """A key for each part of the set that isn't empty, equal where the part's tokens are.
+
+    Two sets that link agree in at least parts - differ parts. Where all of these could be empty, both sets have as many
+    empty ones, and share a key for that.
+    """
+    parts, differ = grade_parts(grade, percent)
+    part = (mix(tokens ^ np.uint64(0x9E3779B97F4A7C15)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    sums, which = np.add.reduceat(mix(tokens[order]), at), part[at].astype(np.uint64)
+    if parts - len(at) >= parts - differ:
+        sums, which = np.append(sums, np.uint64(0)), np.append(which, np.uint64(parts))
+    return mix(mix(sums ^ mix(which + np.uint64(1))) + np.uint64(grade)).view(np.int64)
+
+
+def part_blocks(members: DataFrame, sets: DataFrame, percent: int, piece: int = 1 << 16) -> DataFrame:
+    """members: (grade, did, comp). (block, did, comp): a row for each set and key of its parts."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, dids, comps, held = [], [], [], 0
+
+        def out() -> pa.RecordBatch:
+            sizes = [len(k) for k in keys]
+            columns = [np.concatenate(keys), np.repeat(np.array(dids, np.int64), sizes), np.repeat(np.array(comps, np.int64), sizes)]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["block", "did", "comp"])
+
+        for batch in batches:
+            for grade, did, comp, tokens in zip(*(batch.column(c) for c in ("grade", "did", "comp", "tokens")), strict=True):
+                keys.append(part_keys(np.frombuffer(tokens.as_buffer(), np.uint64), grade.as_py(), percent))
+                dids.append(did.as_py())
+                comps.append(comp.as_py())
+                held += len(keys[-1])
+                if held >= piece:
+                    yield out()
+                    keys, dids, comps, held = [], [], [], 0
+        if held:
+            yield out()
+
+    return members.join(sets, "did").select("grade", "did", "comp", "tokens").mapInArrow(work, "block long, did long, comp long")
+
+
 def link_classes(docs: DataFrame, st: Staged, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """((rid, doc_id, did, n, cls) of the documents, (cls, component, component_id) of the classes of equal sets)."""
     rows = keyed(docs)
@@ -304,7 +356,9 @@ def link_classes(docs: DataFrame, st: Staged, k: int, percent: int) -> tuple[Dat
     total = meta.agg(F.sum("n")).collect()[0][0] or 0
     buckets = max(8, -(-total // BUCKET_TOKENS))
     shared = shared_tokens(send_tokens(docs, lambda texts: shingle_sets(texts, k), buckets), buckets)
-    posts = st.put(prefixes(shared, classes, percent, buckets), "posts")
+    # a set links at best with one that has a token more
+    able = classes.where(F.col("n") * 100 >= (F.col("n") + 1) * percent)
+    posts = st.put(prefixes(shared, able, percent, buckets), "posts")
 
     # stars: each token's list with its smallest document
     lists = posts.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("did", "n")).alias("c")).where("m > 1").select("token", F.col("c.did").alias("center"), F.col("c.n").alias("center_n"))
@@ -323,24 +377,30 @@ def link_classes(docs: DataFrame, st: Staged, k: int, percent: int) -> tuple[Dat
     links = st.put(join_blocks(members, sets, percent), "links-1")
     comps = components(links, st, "star")
 
-    # a star of one block had all its pairs tested; a larger one that still spans components meets again, grade by grade of
-    # sizes: the members outside its main component with all of it and with one another, in chunks
+    # a star of one block had all its pairs tested; of a larger one that still spans components, the members of a grade of
+    # sizes meet again, but those alone that are equal in a part of their tokens
     large = stars.join(width.where("parts > 1"), "center")
     spread = large.select("center", "did", "n").unionByName(large.select("center", F.col("center").alias("did"), F.col("center_n").alias("n")).dropDuplicates(["center"]))
     spread = spread.join(comps.withColumnRenamed("node", "did"), "did", "left").select("center", "did", F.coalesce("comp", "did").alias("comp"), size_grade(F.col("n"), percent).alias("own"))
     # written, so that what follows counts before it shuffles by center
     spread = st.put(spread.select("*", F.explode(F.array(F.col("own"), F.col("own") + 1)).alias("grade")), "spread")
-    sums = spread.groupBy("center", "grade", "comp").agg(F.count(F.lit(1)).alias("m"), F.max(F.col("own") == F.col("grade")).alias("own"))
-    sums = sums.groupBy("center", "grade").agg(F.sum("m").alias("m"), F.max(F.struct("m", "comp")).alias("main"), F.max("own").alias("own")).where("m > main.m and own")
-    sums = sums.select("center", "grade", F.col("main.comp").alias("main"), F.ceil(F.col("main.m") / BLOCK).alias("mains"), F.ceil((F.col("m") - F.col("main.m")) / BLOCK).alias("others"))
-    rest = st.put(spread.drop("own").join(sums, ["center", "grade"]), "rest")
-    if not rest.isEmpty():
+    several = spread.groupBy("center", "grade").agg((F.min("comp") < F.max("comp")).alias("several"), F.max(F.col("own") == F.col("grade")).alias("own")).where("several and own").select("center", "grade")
+    again = st.put(spread.join(several, ["center", "grade"], "left_semi").select("grade", "did", "comp").dropDuplicates(), "again")
+    if not again.isEmpty():
+        parts = st.put(part_blocks(again, sets, percent), "parts")
+        sums = parts.groupBy("block", "comp").agg(F.count(F.lit(1)).alias("m"), F.min("did").alias("low"), F.max("did").alias("high"), F.bit_xor(F.xxhash64("did")).alias("all"))
+        sums = sums.groupBy("block").agg(F.sum("m").alias("m"), F.max(F.struct("m", "comp")).alias("main"), F.min("low").alias("low"), F.max("high").alias("high"), F.bit_xor("all").alias("all")).where("m > main.m")
+        # sets that are equal in several parts meet once
+        sums = sums.groupBy("m", "main", "low", "high", "all").agg(F.min("block").alias("block"))
+        sums = sums.select("block", F.col("main.comp").alias("main"), F.ceil(F.col("main.m") / BLOCK).alias("mains"), F.ceil((F.col("m") - F.col("main.m")) / BLOCK).alias("others"))
+        # where very many are equal in a part: those outside the main component with all of it and with one another, in chunks
+        rest = st.put(parts.join(sums, "block"), "rest")
         upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
         inside, outside = rest.where("comp = main"), rest.where("comp <> main")
         part = lambda n: F.pmod(F.xxhash64("did"), n)
         with_main = inside.withColumn("j", upto(F.col("others"))).withColumn("i", part(F.col("mains"))).unionByName(outside.withColumn("j", part(F.col("others"))).withColumn("i", upto(F.col("mains"))))
         pairs = outside.withColumn("i", part(F.col("others"))).withColumn("j", upto(F.col("others"))).where("i <> j")
-        blocks = with_main.select(F.xxhash64("center", "grade", F.lit(0), "i", "j").alias("block"), "did", "comp").unionByName(pairs.select(F.xxhash64("center", "grade", F.lit(1), F.least("i", "j"), F.greatest("i", "j")).alias("block"), "did", "comp"))
+        blocks = with_main.select(F.xxhash64("block", F.lit(0), "i", "j").alias("block"), "did", "comp").unionByName(pairs.select(F.xxhash64("block", F.lit(1), F.least("i", "j"), F.greatest("i", "j")).alias("block"), "did", "comp"))
         links = links.unionByName(st.put(join_blocks(blocks, sets, percent), "links-2"))
         comps = components(links, st, "all")
     st.drop("sets", "posts")

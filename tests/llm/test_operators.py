@@ -139,6 +139,33 @@ def test_jaccard_large_group(spark):
     _same(jaccard.link_components(docs, k=2, percent=80).select("doc_id", "n_shingles", "component_id").collect(), jaccard.brute_force(rows, 2, 80))
 
 
+def test_jaccard_common_tokens_without_links(spark):
+    """Sets of common tokens alone, some that link: those that meet again are equal in a part."""
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(r.sample(words, r.randint(20, 40)))) for i in range(260)]
+    rows += [(1000 + i, " ".join(dict.fromkeys([*t.split(), r.choice(words)]))) for i, t in rows[:60]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    _same(jaccard.link_components(docs, k=1, percent=80).select("doc_id", "n_shingles", "component_id").collect(), jaccard.brute_force(rows, 1, 80))
+
+
+def test_sets_that_link_share_a_part():
+    r = np.random.default_rng(5)
+    for percent in (30, 50, 80, 85, 95):
+        for _ in range(400):
+            n = int(r.integers(1, 300))
+            a = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))
+            out, new = int(r.integers(0, n * (100 - percent) // 100 + 1)), int(r.integers(0, n * (100 - percent) // 100 + 1))
+            b = np.unique(np.concatenate([a[out:], r.integers(0, 1 << 63, new, dtype=np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            if 100 * both < percent * (len(a) + len(b) - both):
+                continue
+            grades = [int(np.floor(np.log(len(x)) / np.log(100 / percent) + 1e-9)) for x in (a, b)]
+            assert abs(grades[0] - grades[1]) <= 1
+            keys = [jaccard.part_keys(x, max(grades), percent) for x in (a, b)]
+            assert set(keys[0].tolist()) & set(keys[1].tolist())
+
+
 def test_keep_one(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     kept = jaccard.keep_one(docs)
