@@ -16,9 +16,10 @@ of copies are not listed one by one.
 4. The sets that share a prefix token meet in blocks: first with the smallest of each token's
    list (a star, so that a group of near copies costs its size), then, where a list still
    spans several components, the members of like size: sizes are graded so that sets
-   that can link are in one grade or two neighbouring ones. These sets' tokens are dealt by
-   hash to more parts than two sets that link can differ in; so they are equal in a part, and only
-   those that are meet, however many share a token. In a block the sets form
+   that can link are in one grade or two neighbouring ones. Where these are more than ``FEW``, their tokens are dealt by
+   hash to more parts than two sets that link can differ in; so they are equal in several, and of a set's
+   parts those that most sets have can be left out: sets meet that are equal in one of the rarer parts, however many
+   share a token or a passage. In a block the sets form
    a prefix tree with compressed paths; each set walks the tree, nodes share partial
    overlaps, and subtrees are pruned where overlap so far plus remaining length is too small.
 5. Components of the links by star rounds over tables.
@@ -38,7 +39,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talkspark.llm.common import Staged, chunked, clashes, fresh, keyed, numbered, read_table, row_key
@@ -48,6 +49,7 @@ from talkspark.llm.hashing import mix, shingle_sets
 CAP = 64  # documents of a token from which on its exact count doesn't matter
 BUCKET_TOKENS = 2_000_000
 BLOCK = 128
+FEW = 8 * BLOCK  # sets of like size with a common token, up to which they meet all with all: each goes to 8 blocks at most
 
 
 def needed(percent: int, a: int, b: int) -> int:
@@ -319,29 +321,39 @@ def part_keys(tokens: np.ndarray, grade: int, percent: int) -> np.ndarray:
 
 
 def part_blocks(members: DataFrame, sets: DataFrame, percent: int, piece: int = 1 << 16) -> DataFrame:
-    """members: (grade, did, comp). (block, did, comp): a row for each set and key of its parts."""
+    """members: (grade, did, comp). (grade, block, did, comp, spare): a row for each set and key of its parts.
+
+    Two sets that link differ in at most d parts. So of all keys in one order, they share one among the first d + 1 of
+    each of them, and a set can do without any ``spare`` keys that come last.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, dids, comps, held = [], [], [], 0
+        keys, rows, held = [], [], 0
 
         def out() -> pa.RecordBatch:
-            sizes = [len(k) for k in keys]
-            columns = [np.concatenate(keys), np.repeat(np.array(dids, np.int64), sizes), np.repeat(np.array(comps, np.int64), sizes)]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["block", "did", "comp"])
+            grade, did, comp, spare = np.repeat(np.array(rows, np.int64), [len(k) for k in keys], axis=0).T
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (grade, np.concatenate(keys), did, comp, spare)], ["grade", "block", "did", "comp", "spare"])
 
         for batch in batches:
             for grade, did, comp, tokens in zip(*(batch.column(c) for c in ("grade", "did", "comp", "tokens")), strict=True):
                 keys.append(part_keys(np.frombuffer(tokens.as_buffer(), np.uint64), grade.as_py(), percent))
-                dids.append(did.as_py())
-                comps.append(comp.as_py())
+                spare = max(0, len(keys[-1]) - grade_parts(grade.as_py(), percent)[1] - 1)
+                rows.append((grade.as_py(), did.as_py(), comp.as_py(), spare))
                 held += len(keys[-1])
                 if held >= piece:
                     yield out()
-                    keys, dids, comps, held = [], [], [], 0
+                    keys, rows, held = [], [], 0
         if held:
             yield out()
 
-    return members.join(sets, "did").select("grade", "did", "comp", "tokens").mapInArrow(work, "block long, did long, comp long")
+    return members.join(sets, "did").select("grade", "did", "comp", "tokens").mapInArrow(work, "grade long, block long, did long, comp long, spare long")
+
+
+def rare_parts(parts: DataFrame) -> DataFrame:
+    """(block, did, comp) of the rows by which sets meet: those of parts that others have, without each set's ``spare`` most common ones."""
+    common = parts.groupBy("block").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    place = F.row_number().over(Window.partitionBy("grade", "did").orderBy(F.desc("sets"), "block"))
+    return parts.join(common, "block").withColumn("place", place).where("place > spare").select("block", "did", "comp")
 
 
 def link_classes(docs: DataFrame, st: Staged, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -378,22 +390,24 @@ def link_classes(docs: DataFrame, st: Staged, k: int, percent: int) -> tuple[Dat
     comps = components(links, st, "star")
 
     # a star of one block had all its pairs tested; of a larger one that still spans components, the members of a grade of
-    # sizes meet again, but those alone that are equal in a part of their tokens
+    # sizes meet again; where these are many, those alone that are equal in a part of their tokens
     large = stars.join(width.where("parts > 1"), "center")
     spread = large.select("center", "did", "n").unionByName(large.select("center", F.col("center").alias("did"), F.col("center_n").alias("n")).dropDuplicates(["center"]))
     spread = spread.join(comps.withColumnRenamed("node", "did"), "did", "left").select("center", "did", F.coalesce("comp", "did").alias("comp"), size_grade(F.col("n"), percent).alias("own"))
     # written, so that what follows counts before it shuffles by center
     spread = st.put(spread.select("*", F.explode(F.array(F.col("own"), F.col("own") + 1)).alias("grade")), "spread")
-    several = spread.groupBy("center", "grade").agg((F.min("comp") < F.max("comp")).alias("several"), F.max(F.col("own") == F.col("grade")).alias("own")).where("several and own").select("center", "grade")
-    again = st.put(spread.join(several, ["center", "grade"], "left_semi").select("grade", "did", "comp").dropDuplicates(), "again")
+    several = spread.groupBy("center", "grade").agg((F.min("comp") < F.max("comp")).alias("several"), F.max(F.col("own") == F.col("grade")).alias("own"), (F.count(F.lit(1)) > FEW).alias("many")).where("several and own").select("center", "grade", "many")
+    again = st.put(spread.drop("own").join(several, ["center", "grade"]), "again")
     if not again.isEmpty():
-        parts = st.put(part_blocks(again, sets, percent), "parts")
+        many = again.where("many").select("grade", "did", "comp").dropDuplicates()
+        by_part = rare_parts(st.put(part_blocks(many, sets, percent), "parts"))
+        parts = st.put(again.where("not many").select(F.xxhash64("center", "grade").alias("block"), "did", "comp").unionByName(by_part), "meet")
         sums = parts.groupBy("block", "comp").agg(F.count(F.lit(1)).alias("m"), F.min("did").alias("low"), F.max("did").alias("high"), F.bit_xor(F.xxhash64("did")).alias("all"))
         sums = sums.groupBy("block").agg(F.sum("m").alias("m"), F.max(F.struct("m", "comp")).alias("main"), F.min("low").alias("low"), F.max("high").alias("high"), F.bit_xor("all").alias("all")).where("m > main.m")
-        # sets that are equal in several parts meet once
+        # the same sets meet once, though they have several parts or lists in common
         sums = sums.groupBy("m", "main", "low", "high", "all").agg(F.min("block").alias("block"))
         sums = sums.select("block", F.col("main.comp").alias("main"), F.ceil(F.col("main.m") / BLOCK).alias("mains"), F.ceil((F.col("m") - F.col("main.m")) / BLOCK).alias("others"))
-        # where very many are equal in a part: those outside the main component with all of it and with one another, in chunks
+        # in chunks: those outside the main component with all of it and with one another
         rest = st.put(parts.join(sums, "block"), "rest")
         upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
         inside, outside = rest.where("comp = main"), rest.where("comp <> main")

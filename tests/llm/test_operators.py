@@ -126,8 +126,10 @@ def test_jaccard(spark, data, k, percent):
     assert sum(r[0] != r[2] for r in expected) > 10
 
 
-def test_jaccard_large_group(spark):
-    """A group of near copies beyond one block, with pairs below the bound inside."""
+@pytest.mark.parametrize("few", [jaccard.FEW, 0])
+def test_jaccard_large_group(spark, monkeypatch, few):
+    """A group of near copies beyond one block, with pairs below the bound inside; few: all with all, else by parts."""
+    monkeypatch.setattr(jaccard, "FEW", few)
     words = [f"w{i}" for i in range(60)]
     rows = []
     for i in range(400):
@@ -139,8 +141,10 @@ def test_jaccard_large_group(spark):
     _same(jaccard.link_components(docs, k=2, percent=80).select("doc_id", "n_shingles", "component_id").collect(), jaccard.brute_force(rows, 2, 80))
 
 
-def test_jaccard_common_tokens_without_links(spark):
-    """Sets of common tokens alone, some that link: those that meet again are equal in a part."""
+@pytest.mark.parametrize("few", [jaccard.FEW, 0])
+def test_jaccard_common_tokens_without_links(spark, monkeypatch, few):
+    """Sets of common tokens alone, some that link: those that meet again are few, or equal in a part."""
+    monkeypatch.setattr(jaccard, "FEW", few)
     r = random.Random(8)
     words = [f"w{i}" for i in range(60)]
     rows = [(i, " ".join(r.sample(words, r.randint(20, 40)))) for i in range(260)]
@@ -163,7 +167,21 @@ def test_sets_that_link_share_a_part():
             grades = [int(np.floor(np.log(len(x)) / np.log(100 / percent) + 1e-9)) for x in (a, b)]
             assert abs(grades[0] - grades[1]) <= 1
             keys = [jaccard.part_keys(x, max(grades), percent) for x in (a, b)]
-            assert set(keys[0].tolist()) & set(keys[1].tolist())
+            # in any order of the keys, the first of them that are kept have one in common
+            keep = jaccard.grade_parts(max(grades), percent)[1] + 1
+            assert set(np.sort(keys[0])[:keep].tolist()) & set(np.sort(keys[1])[:keep].tolist())
+
+
+def test_jaccard_passages_in_common(spark, monkeypatch):
+    """Sets with long passages in common that don't link, and near copies among them; the keys of the passages are left out."""
+    monkeypatch.setattr(jaccard, "FEW", 0)
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    r = random.Random(3)
+    passages = [[f"p{i}_{j}" for j in range(30)] for i in range(6)]
+    rows = [(i, " ".join(w for p in r.sample(passages, 3) for w in p) + " " + " ".join(f"u{r.randint(0, 40)}" for _ in range(14))) for i in range(150)]
+    rows += [(500 + i, f"{t} v{i}") for i, t in rows[:40]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    _same(jaccard.link_components(docs, k=1, percent=85).select("doc_id", "n_shingles", "component_id").collect(), jaccard.brute_force(rows, 1, 85))
 
 
 def test_keep_one(spark, data):
